@@ -84,8 +84,11 @@ def prepare(ctx, laps: DataFrame) -> DataFrame:
     df = group_stat(ctx, df, CAR, {"drv_med": (F.when(F.col("_ok"), F.col("lap_time")), 0.5)})
     df = df.withColumn("rep", F.coalesce(F.col("_ok") & (F.col("lap_time") / F.col("drv_med")).between(0.95, 1.05), F.lit(False)))
     df = group_stat(ctx, df, ["race_no"], {"race_ref": (F.when(F.col("rep"), F.col("lap_time")), 0.5)})
-    return (df.withColumn("l_scale", F.coalesce(F.col("race_ref") / REF_LAP, F.lit(1.0)))
-            .withColumnRenamed("_ok", "rep_base"))
+    df = (df.withColumn("l_scale", F.coalesce(F.col("race_ref") / REF_LAP, F.lit(1.0)))
+          .withColumnRenamed("_ok", "rep_base"))
+    # ordinal among the car's representative laps, for frames over those laps only
+    df = running(df, CAR, {"_rn": ("sum", F.col("rep").cast("bigint"))}, blk=ctx.blk)
+    return df.withColumn("rep_no", F.when(F.col("rep"), F.coalesce("_rn", F.lit(0)) + 1)).drop("_rn")
 
 
 FEATURES_SQL = """

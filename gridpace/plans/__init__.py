@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning"]
+FAMILIES = ["cleaning", "joins", "windows"]
 
 
 def load_all() -> None:
