@@ -202,7 +202,7 @@ def _back_substitute(sigmas: dict[int, float], shared: dict[int, tuple[np.ndarra
                     continue
                 g, circ = shared[r.replicate]
                 ll, ls, _, bl, _ = _race_system(r.xx, r.cars, r.sums, r.w, sigmas[r.replicate])
-                b = np.linalg.solve(ll, bl - ls @ np.concatenate([g, circ[r.circuit]]))
+                b = np.linalg.solve(ll, bl - ls @ np.concatenate([g, circ.get(r.circuit, np.zeros(5))]))
                 D = len(r.cars)
                 out.append((r.replicate, r.race_no, r.cars, b[:D], b[D:], float(np.median(b[:D]))))
             yield pd.DataFrame(out, columns=["replicate", "race_no", "cars", "fe", "race_coef", "fe_default"])
@@ -321,6 +321,12 @@ def local_column() -> Column:
     return base + F.col("l_scale") * per
 
 
+def local_fit(model: Model, rep_laps: DataFrame) -> DataFrame:
+    """Race-local terms from all of a race's representative laps, shared terms held fixed."""
+    stats = race_stats(rep_laps.select(*LAP_COLS).withColumn("replicate", F.lit(0))).withColumn("w", F.lit(1.0))
+    return stats.mapInPandas(_back_substitute({0: model.sigma[0]}, model.shared), LOCAL).drop("replicate")
+
+
 def _round(stats: DataFrame, weights: DataFrame | None, sigmas: dict[int, float]):
     """One penalised solve from statistics: reduced systems, shared solution, race-local table."""
     t = stats.withColumn("w", F.lit(1.0)) if weights is None else stats.join(weights, ["replicate", "race_no"])
@@ -335,9 +341,9 @@ def _round(stats: DataFrame, weights: DataFrame | None, sigmas: dict[int, float]
 def robust_sigma(resid: DataFrame, weighted: bool) -> dict[int, float]:
     """1.4826 x median absolute deviation from the median, per replicate, frequency-weighted."""
     w = F.col("w").cast("bigint") if weighted else None
-    med = group_quantile(resid, ["replicate"], F.col("resid"), 0.5, "med", weight=w)
-    dev = resid.join(F.broadcast(med), "replicate").withColumn("dev", F.abs(F.col("resid") - F.col("med")))  # one row per replicate
-    mad = group_quantile(dev, ["replicate"], F.col("dev"), 0.5, "mad", weight=w)
+    med = group_quantile(resid, ["replicate"], F.col("resid"), 0.5, "med", weight=w).collect()  # one row per replicate
+    centre = F.create_map(*[F.lit(x) for r in med for x in (r["replicate"], r["med"])])[F.col("replicate")]
+    mad = group_quantile(resid, ["replicate"], F.abs(F.col("resid") - centre), 0.5, "mad", weight=w)
     return {r["replicate"]: 1.4826 * r["mad"] for r in mad.collect()}  # one row per replicate
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning", "joins", "windows"]
+FAMILIES = ["cleaning", "joins", "windows", "aggregates"]
 
 
 def load_all() -> None:
