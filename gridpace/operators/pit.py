@@ -103,9 +103,13 @@ def pit_loss_table(stops: DataFrame) -> DataFrame:
     per_year = green.groupBy("circuit", "year").agg(F.count(F.lit(1)).alias("ny"))
     pick = per_year.groupBy("circuit").agg(F.max("year").alias("last"), F.max_by("ny", "year").alias("n_last"), F.sum("ny").alias("n_green"))
     use = green.join(F.broadcast(pick), "circuit").filter("n_last < 6 or year = last")  # one row per circuit
-    loc = robust(use, ["circuit"], "loss_green").join(pick, "circuit")
-    glob = robust(green, [], "loss_green", "g_")
-    gap = robust(green, [], "loss_gap", "gap_").select(F.col("gap_med").alias("g_gap"))
+    rows = (use.select(F.col("circuit").alias("grp"), F.col("loss_green").alias("x"))
+            .unionByName(green.select(F.lit("_global").alias("grp"), F.col("loss_green").alias("x")))
+            .unionByName(green.select(F.lit("_gap").alias("grp"), F.col("loss_gap").alias("x"))))
+    rb = stage(robust(rows, ["grp"], "x"), "robust")
+    loc = rb.filter("grp not in ('_global', '_gap')").withColumnRenamed("grp", "circuit").join(pick, "circuit")
+    glob = rb.filter("grp = '_global'").select(F.col("med").alias("g_med"), F.col("mad").alias("g_mad"))
+    gap = rb.filter("grp = '_gap'").select(F.col("med").alias("g_gap"))
     neutral = group_quantile(stops.filter("regime in (1, 2)"), ["regime"], F.col("loss_gap"), 0.5, "m")
     meds = neutral.agg(F.max(F.when(F.col("regime") == 1, F.col("m"))).alias("m_sc"), F.max(F.when(F.col("regime") == 2, F.col("m"))).alias("m_vsc"))
     n_all = green.agg(F.count(F.lit(1)).alias("n_all"))

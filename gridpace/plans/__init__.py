@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning", "joins", "windows", "aggregates"]
+FAMILIES = ["cleaning", "joins", "windows", "aggregates", "models", "decide"]
 
 
 def load_all() -> None:
