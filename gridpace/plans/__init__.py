@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning", "joins", "windows", "aggregates", "models", "decide"]
+FAMILIES = ["cleaning", "files", "joins", "windows", "aggregates", "ordering", "models", "decide", "scalars"]
 
 
 def load_all() -> None:
