@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning", "files", "joins", "windows", "aggregates", "ordering", "models", "decide", "scalars"]
+FAMILIES = ["cleaning", "files", "joins", "windows", "aggregates", "ordering", "models", "decide", "scalars", "tracks"]
 
 
 def load_all() -> None:
