@@ -1,0 +1,57 @@
+"""Tree ensembles on assembled columns, with missing values imputed and flagged."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridpace.operators.linear import design
+
+
+class Assembler:
+    """Numeric columns (0 where missing, plus a flag) and integer-coded categories; unseen levels get their own code."""
+
+    def __init__(self, train: DataFrame, numeric: list[str], categorical: list[str] = ()):
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        self.levels = design(train, [], self.categorical).levels if categorical else {}
+        has_null = train.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in numeric]).first()
+        self.flagged = [c for c in numeric if has_null[c]]
+        self.names = self.numeric + [f"{c}_missing" for c in self.flagged] + self.categorical
+
+    def array(self):
+        e = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numeric]
+        e += [F.col(c).isNull().cast("double") for c in self.flagged]
+        for c in self.categorical:
+            m = F.create_map(*[F.lit(x) for i, v in enumerate(self.levels[c]) for x in (v, float(i))])
+            e.append(F.coalesce(F.try_element_at(m, F.col(c).cast("string")), F.lit(float(len(self.levels[c])))))
+        return F.array(*e)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("features", array_to_vector(self.array()))
+
+
+def gbt_regressor(train: DataFrame, a: Assembler, target: str, rounds: int = 20, depth: int = 4):
+    d = a.transform(train.filter(F.col(target).isNotNull())).select("features", F.col(target).alias("label"))
+    return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, minInstancesPerNode=20, seed=0, checkpointInterval=10).fit(d)
+
+
+def forest(train: DataFrame, a: Assembler, target: str, trees: int = 20, depth: int = 8):
+    d = a.transform(train.filter(F.col(target).isNotNull())).select("features", F.col(target).alias("label"))
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, maxBins=64, seed=42).fit(d)
+
+
+def gbt_classifier(train: DataFrame, a: Assembler, target: str, rounds: int = 12, depth: int = 4):
+    d = a.transform(train).select("features", F.col(target).cast("double").alias("label"))
+    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, minInstancesPerNode=20, seed=0, checkpointInterval=10).fit(d)
+
+
+def probability(model, df: DataFrame, out: str = "p") -> DataFrame:
+    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+
+def importances(model, names: list[str]) -> list[tuple[str, float]]:
+    return list(zip(names, [float(x) for x in np.asarray(model.featureImportances.toArray())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpace.constants import DEV_YEARS, DRY, SC_RATIO_EFF, TRAIN_YEARS
+from gridpace.constants import DEFAULT_TRACK_TEMP, DEV_YEARS, DRY, SC_RATIO_EFF, TRAIN_YEARS
 from gridpace.operators import ridge
 from gridpace.operators.asof_fit import asof_local_fits
 from gridpace.operators.limits import circuit_constants, stint_limits
@@ -74,7 +74,12 @@ def circuit_params(ctx) -> DataFrame:
     """One row per circuit: scale, temperature, length, base pace, pit losses, chain and stint limits."""
     def make():
         m, laps = model(ctx), fit_laps(ctx)
-        known = circuit_constants(laps)
+        seen = circuit_constants(laps)
+        # a circuit not raced before the test season keeps its length and takes default scale and temperature
+        every = circuit_constants(ctx.laps).select("circuit", F.col("race_laps").alias("_len"))
+        known = every.join(seen, "circuit", "left").select(
+            "circuit", F.coalesce("l_scale", F.lit(1.0)).alias("l_scale"), F.coalesce("track_temp", F.lit(DEFAULT_TRACK_TEMP)).alias("track_temp"),
+            F.coalesce("race_laps", "_len").alias("race_laps"))
         known = with_global(known, pit_table(ctx), ["green", "sc_ratio", "vsc_ratio", "n_green"])
         known = with_global(known, neutral(ctx), ["p_sc", "p_vsc", "len_sc", "len_vsc"])
         lim = stint_limits(laps)

@@ -16,11 +16,11 @@ def finite_pair(y: Column, p: Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """MAE, RMSE, R2, MAPE and n over finite pairs, one pass with map-side combine."""
+    """MAE, RMSE, R2, MAPE (non-zero targets) and n over finite pairs, one pass with map-side combine."""
     d = df.filter(finite_pair(F.col(y), F.col(p)))
     e = F.col(y) - F.col(p)
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                             F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_var"), (F.avg(F.abs(e / F.col(y))) * 100).alias("mape"))
+                             F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_var"), (F.avg(F.abs(F.try_divide(e, F.col(y)))) * 100).alias("mape"))
     return g.withColumn("r2", F.when(F.col("_var") > 0, 1 - F.col("_sse") / (F.col("_var") * F.col("n")))).drop("_sse", "_var")
 
 

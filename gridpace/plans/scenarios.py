@@ -1,0 +1,107 @@
+"""Counterfactual re-timing queries (C)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gridpace.functions.expr import rnd
+from gridpace.operators import scenario as sc
+from gridpace.plans.sqltext import feat_sql
+from gridpace.plans.sqltext import rnd as R
+from gridpace.plans.windows import FIELD_SQL
+from gridpace.registry import query
+from gridpace.session import stage
+
+KEY = ["race_no", "drv", "lap"]
+
+# one change list per kind; every dry race of the test season is asked every question for one of its cars
+KINDS = [
+    ("pitShift", dict(stop=1, delta=5.0)), ("pitLap", dict(stop=0, lap=20, compound="HARD")), ("compound", dict(stint=1, compound="SOFT")), ("dropStop", dict(stop=-1)),
+    ("addStop", dict(lap=0)), ("optimal", {}), ("noSC", {}), ("addSC", dict(lap=30, laps=4)), ("trackTemp", dict(delta=10.0)), ("pitLoss", dict(delta=1.0)),
+]
+
+
+def scenario_table(c):
+    """Scenarios derived from the laps: the car with the most stops of each dry test race, one scenario per kind of change."""
+    def make():
+        cars = c.laps.filter("dry_race and year = 2025").groupBy("race_no", "drv").agg(F.count_if("pit_in").alias("n"))
+        pick = cars.groupBy("race_no").agg(F.max_by("drv", F.struct("n", -F.col("drv"))).alias("drv"))
+        row = lambda i, t, kw: F.struct(F.lit(i).alias("k"), F.lit(t).alias("type"), *[F.lit(kw.get(n)).cast(ty).alias(n) for n, ty in (
+            ("stop", "int"), ("lap", "int"), ("laps", "int"), ("delta", "double"), ("compound", "string"), ("stint", "int"))])
+        x = pick.withColumn("s", F.explode(F.array(*[row(i, t, kw) for i, (t, kw) in enumerate(KINDS)])))
+        return stage(x.select((F.col("race_no") * 100 + F.col("s.k")).alias("scenario_id"), "race_no", "drv", F.lit(0).alias("seq"), "s.*").drop("k"), "scenarios")
+    return c.memo("scenarios", make)
+
+
+def answers(c):
+    return c.memo("retimed", lambda: stage(sc.retimed(c, scenario_table(c)), "retimed"))
+
+
+CLEAN_SQL = FIELD_SQL + """,
+cd as (select f.race_no, f.drv, f.lap, f.lap_time, f.pit_in, f.pit_out, f.rep, gp.field_med, gp.green_med from f join gp using (race_no, lap)),
+co as (select race_no, drv, coalesce(quantile_cont(case when rep and field_med is not null then lap_time - field_med end, 0.5), 0) as off from cd group by all),
+cl as (select cd.*, off, case when pit_in or pit_out then least(lap_time, coalesce(field_med, green_med) + off) else lap_time end as clean from cd join co using (race_no, drv))"""
+
+
+@query("c_01_clean_pace", feat_sql(f"select race_no, drv, lap, {R('clean', 5)} as clean, {R('off', 5)} as car_offset from cl", CLEAN_SQL))
+def clean(c):
+    cols = [*KEY, "blk", "lap_time", "pit_in", "pit_out", "rep"]
+    return sc.clean_pace(c, c.laps.select(*cols)).select(*KEY, rnd("clean", 5).alias("clean"), rnd("off", 5).alias("car_offset"))
+
+
+@query("c_02_changed_plans")
+def plans(c):
+    return sc.scenario_plans(c, scenario_table(c)).join(scenario_table(c).select("scenario_id", "type"), "scenario_id")
+
+
+@query("c_03_counterfactual_laps")
+def laps(c):
+    w = sc.worlds(c, scenario_table(c))
+    return w.groupBy("scenario_id", *KEY).pivot("world", ["base", "changed"]).agg(F.first("t"))
+
+
+@query("c_04_queue_compression")
+def queue(c):
+    """What queueing behind the safety car takes off each car's base clock by the end of its race."""
+    s = scenario_table(c).filter("type = 'noSC'")
+    w = stage(sc.worlds(c, s).filter("world = 'base'"), "queue-in").select("scenario_id", *KEY, "clock", "sc_lap")
+    q = w.groupBy("scenario_id", "race_no").applyInPandas(sc.queue_world, sc.WORLD).withColumnRenamed("clock", "queued")
+    j = w.join(q, ["scenario_id", *KEY])
+    return j.groupBy("race_no", "drv").agg(F.max_by(F.col("clock") - F.col("queued"), "lap").alias("closed_up_s"))
+
+
+@query("c_05_difference_in_differences")
+def did(c):
+    return answers(c).select("scenario_id", *KEY, "t_end", "cf_clock")
+
+
+@query("c_06_rerank")
+def rerank(c):
+    """Finish, gap to the leader and headline delta of each scenario's car; race-wide changes compare gaps."""
+    a = answers(c)
+    real = sc.ranked(a, "t_end", ["scenario_id"]).select("scenario_id", *KEY, "t_end", F.col("pos").alias("real_pos"), F.col("gap").alias("real_gap"))
+    cf = sc.ranked(a, "cf_clock", ["scenario_id"]).select("scenario_id", *KEY, "cf_clock", F.col("pos").alias("cf_pos"), F.col("gap").alias("cf_gap"))
+    mine = real.join(cf, ["scenario_id", *KEY]).join(scenario_table(c).select("scenario_id", "drv", "type"), ["scenario_id", "drv"])
+    last = mine.groupBy("scenario_id", "race_no", "drv", "type").agg(F.max_by(F.struct("lap", "real_pos", "cf_pos", "real_gap", "cf_gap", "t_end", "cf_clock"), "lap").alias("e"))
+    wide = F.col("type").isin("noSC", "addSC", "trackTemp")
+    return last.select("scenario_id", "race_no", "drv", "type", "e.lap", "e.real_pos", "e.cf_pos",
+                       F.when(wide, F.col("e.cf_gap") - F.col("e.real_gap")).otherwise(F.col("e.cf_clock") - F.col("e.t_end")).alias("delta_s"))
+
+
+@query("c_07_policy_rollout")
+def rollouts(c):
+    """Stints of the policy followed to the flag under each race's own lap states."""
+    s = scenario_table(c).filter("type in ('optimal', 'addSC')")
+    p = sc.scenario_plans(c, s).select("scenario_id", "race_no", "drv", F.posexplode("plan").alias("i", "s"))
+    return p.select("scenario_id", "race_no", "drv", (F.col("i") + 1).alias("stint"), "s.*")
+
+
+@query("c_08_no_change_reproduces_reality", feat_sql(f"""
+select race_no, drv, lap, {R('t_end', 5)} as cf_clock, rank() over (partition by race_no, lap order by end_us) as pos from f where dry_race and year = 2025"""))
+def no_change(c):
+    """A shift by zero laps gives back the real clocks and the real order, exactly."""
+    base = scenario_table(c).filter("type = 'pitShift'").withColumn("delta", F.lit(0.0))
+    a = sc.retimed(c, base).withColumn("t", F.round("cf_clock", 6))
+    w = Window.partitionBy("race_no", "lap").orderBy("t")
+    return a.select(*KEY, rnd("t", 5).alias("cf_clock"), F.rank().over(w).cast("bigint").alias("pos"))
