@@ -1,0 +1,48 @@
+"""Plan edits, queueing and re-timing invariants."""
+
+from pyspark.sql import functions as F
+
+from gridpace.operators import scenario as sc
+
+PLAN = [{"from": 1, "to": 18, "compound": "SOFT", "age": 1}, {"from": 19, "to": 40, "compound": "HARD", "age": 1}, {"from": 41, "to": 57, "compound": "MEDIUM", "age": 1}]
+
+
+def edit(*changes):
+    return [(s["from"], s["to"], s["compound"]) for s in sc.edit_plan(PLAN, list(changes), 57)]
+
+
+def test_plan_edits():
+    assert edit({"type": "pitShift", "stop": 1, "delta": 5.0})[0] == (1, 23, "SOFT")
+    assert edit({"type": "pitShift", "stop": -1, "delta": -3.0})[1] == (19, 37, "HARD")
+    assert edit({"type": "pitLap", "stop": 0, "lap": 20, "compound": "MEDIUM"}) == [(1, 20, "SOFT"), (21, 40, "MEDIUM"), (41, 57, "MEDIUM")]
+    assert edit({"type": "dropStop", "stop": -1}) == [(1, 18, "SOFT"), (19, 57, "HARD")]
+    assert edit({"type": "addStop", "lap": 0})[1:3] == [(19, 30, "HARD"), (31, 40, "MEDIUM")]
+    assert edit({"type": "compound", "stint": -1, "compound": "SOFT"})[-1] == (41, 57, "SOFT")
+    assert edit({"type": "pitShift", "stop": 1, "delta": -30.0}) == [(1, 40, "SOFT"), (41, 57, "HARD")]  # a stop off the race is not made
+
+
+def test_queue_never_pushes_back_and_spaces_cars():
+    clocks = {0: {10: 100.0, 11: 190.0}, 1: {10: 130.0, 11: 221.0}, 2: {10: 100.5, 11: 190.6}}
+    before = {k: dict(v) for k, v in clocks.items()}
+    sc.compress_queue(clocks, 10)
+    assert all(clocks[k][n] <= before[k][n] for k in clocks for n in clocks[k])
+    assert clocks[1][10] == 100.0 + 2 * 0.9 and abs((clocks[1][11] - before[1][11]) - (clocks[1][10] - before[1][10])) < 1e-9
+
+
+def test_lapped_car_keeps_its_laps_down():
+    lead = {n: 90.0 * n for n in range(1, 15)}
+    slow = {n: 100.0 * n for n in range(1, 13)}
+    clocks = {0: dict(lead), 1: dict(slow)}
+    sc.compress_queue(clocks, 10)
+    assert clocks[1][10] <= 1000.0 and clocks[1][10] >= lead[11]
+
+
+def test_faster_stops_gain_time_and_zero_shift_changes_nothing(ctx):
+    from gridpace.plans.scenarios import scenario_table
+    s = scenario_table(ctx)
+    zero = s.filter("type = 'pitShift'").withColumn("delta", F.lit(0.0))
+    a = sc.retimed(ctx, zero)
+    assert a.filter(F.abs(F.col("cf_clock") - F.col("t_end")) > 1e-6).count() == 0
+    slower = sc.retimed(ctx, s.filter("type = 'pitLoss'")).join(s.filter("type = 'pitLoss'").select("scenario_id", "drv"), ["scenario_id", "drv"])
+    last = slower.groupBy("scenario_id").agg(F.max_by(F.col("cf_clock") - F.col("t_end"), "lap").alias("d")).collect()
+    assert last and all(r["d"] > 0 for r in last)
