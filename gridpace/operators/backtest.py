@@ -34,12 +34,22 @@ def forecast_rows(ctx, *cols: str) -> DataFrame:
             .withColumn("h", F.col("lap") - F.col("k")))
 
 
-def pit_states(ctx) -> DataFrame:
-    """One row per mid-stint state: candidates for a pit call, the real outcome, and an age-based score."""
-    df = framed(ctx.laps, CAR, {"next_out": lambda w: F.coalesce(F.lead("pit_out").over(w), F.lit(False))}, after=1, blk=ctx.blk,
+def with_outcome(ctx, laps: DataFrame) -> DataFrame:
+    """Every lap with its real outcome, an age-based score, and whether it is a candidate for a pit call."""
+    df = framed(laps, CAR, {"next_out": lambda w: F.coalesce(F.lead("pit_out").over(w), F.lit(False))}, after=1, blk=ctx.blk,
                 block_laps=ctx.shape.block_laps)
-    df = df.withColumn("y", (F.col("pit_in") & F.col("next_out")).cast("int"))
-    cand = df.filter(F.col("dry_race") & (F.col("lap") >= 2) & (F.col("lap") <= F.col("race_laps") - 1) & ~F.col("pit_out") & ~F.col("red")
-                     & F.col("compound").isin(*DRY) & ~(F.col("pit_in") & ~F.col("next_out")))
-    return (cand.withColumn("status", F.when(F.col("sc"), 1).when(F.col("vsc"), 2).otherwise(0))
+    cand = (F.col("dry_race") & (F.col("lap") >= 2) & (F.col("lap") <= F.col("race_laps") - 1) & ~F.col("pit_out") & ~F.col("red")
+            & F.col("compound").isin(*DRY) & ~(F.col("pit_in") & ~F.col("next_out")))
+    return (df.withColumn("y", (F.col("pit_in") & F.col("next_out")).cast("int")).withColumn("candidate", cand)
+            .withColumn("status", F.when(F.col("sc"), 1).when(F.col("vsc"), 2).otherwise(0))
             .withColumn("p", F.col("age") / (F.col("age") + 20.0)).withColumn("call", (F.col("p") >= 0.5).cast("int")))
+
+
+def pit_states(ctx) -> DataFrame:
+    """One row per mid-stint state: candidates for a pit call, the real outcome, and an age-based score."""
+    return with_outcome(ctx, ctx.laps).filter("candidate").drop("candidate")
+
+
+def race_partitioned(ctx, laps: DataFrame) -> DataFrame:
+    """Short races: one shuffle by race that all per-car and per-lap windows then share. A huge race keeps its spread."""
+    return laps if ctx.shape.blocked else laps.repartition("race_no")

@@ -30,14 +30,17 @@ def attach_weather(ctx, laps: DataFrame) -> DataFrame:
 
 
 def group_stat(ctx, df: DataFrame, keys: list[str], cols: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Exact per-group quantiles joined back to every row of the group, filtered rows or not."""
-    bounded = not ctx.shape.blocked
-    if bounded:
-        stats = df.groupBy(*keys).agg(*[F.percentile(e, F.lit(q)).alias(n) for n, (e, q) in cols.items()])
-    else:
-        stats = df.select(*keys).distinct()
-        for n, (e, q) in cols.items():
-            stats = stats.join(group_quantile(df, keys, e, q, n), keys, "left")
+    """Exact per-group quantiles given to every row of the group, filtered rows or not.
+
+    Short races use a window on the partitioning the plan already has; a huge
+    race is aggregated through the sketch-bracketed quantile and joined back.
+    """
+    if not ctx.shape.blocked:
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[F.percentile(e, F.lit(q)).over(w).alias(n) for n, (e, q) in cols.items()])
+    stats = df.select(*keys).distinct()
+    for n, (e, q) in cols.items():
+        stats = stats.join(group_quantile(df, keys, e, q, n), keys, "left")
     return df.join(stats, keys, "left")
 
 
@@ -67,7 +70,10 @@ def prepare(ctx, laps: DataFrame) -> DataFrame:
 
     # race-level shares and fills
     wet = F.avg(F.col("compound").isin("INTERMEDIATE", "WET").cast("double"))
-    df = df.join(df.groupBy("race_no").agg((wet < 0.02).alias("dry_race")), "race_no")
+    if ctx.shape.blocked:
+        df = df.join(df.groupBy("race_no").agg((wet < 0.02).alias("dry_race")), "race_no")
+    else:
+        df = df.withColumn("dry_race", wet.over(Window.partitionBy("race_no")) < 0.02)
     df = group_stat(ctx, df, ["race_no"], {"_mt": (F.col("track_temp_raw"), 0.5), "_ma": (F.col("air_temp_raw"), 0.5)})
     df = (df.withColumn("track_temp", F.coalesce("track_temp_raw", "_mt", F.lit(DEFAULT_TRACK_TEMP)))
           .withColumn("air_temp", F.coalesce("air_temp_raw", "_ma")).drop("_mt", "_ma"))

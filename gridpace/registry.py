@@ -67,13 +67,13 @@ class Context:
     def raw_laps(self) -> DataFrame:
         from gridpace.session import stage
         from gridpace.sources.lapview import lap_view
-        return stage(lap_view(self), "laps", "year")
+        return stage(lap_view(self), "laps", "year", None if self.blk else ["race_no", "drv", "lap"])
 
     @cached_property
     def laps(self) -> DataFrame:
         """The feature table: every lap with its derived columns."""
         from gridpace.operators.features import prepare
         from gridpace.session import stage
-        return stage(prepare(self, self.raw_laps), "lap_features", "year")
+        return stage(prepare(self, self.raw_laps), "lap_features", "year", None if self.blk else ["race_no", "drv", "lap"])
 
 

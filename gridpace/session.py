@@ -39,15 +39,17 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/gridpace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, cluster: list[str] | None = None) -> DataFrame:
     """Write a derived table once to the shared folder and return a scan of it.
 
     Lineage ends at files, so a lost executor costs a re-read, not a recompute.
+    With ``cluster`` the rows stay in the partitions they are in, sorted by
+    those columns; without it AQE evens out and splits a heavy season.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
     if partition_by:
-        df = df.hint("rebalance", partition_by)  # AQE evens out and splits a heavy season
+        df = df.sortWithinPartitions(partition_by, *cluster) if cluster else df.hint("rebalance", partition_by)
         df.write.partitionBy(partition_by).parquet(path)
     else:
         df.write.parquet(path)

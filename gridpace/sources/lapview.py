@@ -58,9 +58,16 @@ def lap_view(ctx) -> DataFrame:
     shape = ctx.shape
     blk = "blk" if shape.blocked else None
     lines = _lines(ctx)
-    cars = lines.groupBy(*CAR).agg(F.count(F.lit(1)).alias("drv_laps")).withColumn(
-        "race_laps", F.max("drv_laps").over(Window.partitionBy("race_no")))
-    laps = (_numbered(lines, shape.blocked).join(cars, CAR)
+    if shape.blocked:
+        cars = lines.groupBy(*CAR).agg(F.count(F.lit(1)).alias("drv_laps")).withColumn(
+            "race_laps", F.max("drv_laps").over(Window.partitionBy("race_no")))
+        laps = _numbered(lines, True).join(cars, CAR)
+    else:
+        # every race is small: one shuffle by race serves all the windows below
+        laps = (_numbered(lines.repartition("race_no"), False)
+                .withColumn("drv_laps", F.count(F.lit(1)).over(Window.partitionBy(*CAR)))
+                .withColumn("race_laps", F.max("drv_laps").over(Window.partitionBy("race_no"))))
+    laps = (laps
             .select(*CAR, "lap", "drv_laps", "race_laps", F.col("l_quantity").alias("qty"),
                     F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
                     F.expr(f"(lap - 1) div {shape.block_laps}").alias("blk"))
