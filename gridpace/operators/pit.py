@@ -14,13 +14,13 @@ KEY = ["race_no", "drv", "lap"]
 AFTER = 3  # laps past the in-lap at which the gap is read again
 
 
-def control_rows(ctx, laps: DataFrame | None = None) -> DataFrame:
+def control_rows(ctx) -> DataFrame:
     """Per car and lap a: gap to the leader at a and four laps on, and whether the car stops around it.
 
     For a stop on lap n, a = n - 1; a control must not be in or out of the pits
     on laps n - 2 .. n + 4.
     """
-    f = (ctx.laps if laps is None else laps).select(*KEY, "end_us", "pit_in", "pit_out", "blk")
+    f = ctx.laps.select(*KEY, "end_us", "pit_in", "pit_out", "blk")
     lead = Window.partitionBy("race_no", "lap")
     f = f.withColumn("g0", (F.col("end_us") - F.min("end_us").over(lead)) / F.lit(1e6))
     span = 1 + AFTER
@@ -70,7 +70,7 @@ def measured_stops(ctx, laps: DataFrame, min_controls: int = 3) -> DataFrame:
     regime = F.expr("case when sc and n.sc then 1 when vsc and n.vsc then 2 when not (sc or vsc) and not (n.sc or n.vsc) then 0 else -1 end")
     ev = (ev.withColumn("regime", regime)
           .withColumn("loss_green", F.expr("lap_time + n.lap_time - expected - n.expected")))
-    ev = ev.join(gap_matched_loss(control_rows(ctx, laps), min_controls).select(*KEY, "loss_gap"), KEY, "left")
+    ev = ev.join(gap_matched_loss(control_rows(ctx), min_controls).select(*KEY, "loss_gap"), KEY, "left")
     return ev.select(*KEY, "race_id", "year", "circuit", "compound", F.col("n.compound").alias("next_compound"), "age", "regime",
                      F.when(F.col("regime") == 0, F.col("loss_green")).otherwise(F.col("loss_gap")).alias("loss"), "loss_green", "loss_gap")
 
