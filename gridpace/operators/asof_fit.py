@@ -34,18 +34,20 @@ class _Cars:
 
 
 class LocalState(_Cars):
-    """Decayed normal equations of base paces, race offsets and race wear rates."""
+    """Decayed normal equations of base paces, race offsets and race wear rates, and optionally one wear rate per car and compound."""
 
     FIXED = 5  # off SOFT, off HARD, wear SOFT, wear MEDIUM, wear HARD
 
-    def __init__(self, sigma: float, deg_sd: float | None, half_life: float | None):
+    def __init__(self, sigma: float, deg_sd: float | None, half_life: float | None, per_driver: bool = False):
         super().__init__()
         self.half_life, self.lap, self.n = half_life, None, 0
         self.A, self.b = np.zeros((5, 5)), np.zeros(5)
         s2 = sigma ** 2
         deg = s2 / PRIOR_SD["deg_race"] ** 2 if deg_sd is None else s2 / max(deg_sd, 1e-6) ** 2
         off = s2 / PRIOR_SD["off_race"] ** 2
-        self.lam, self.lam_fe = np.array([off, off, deg, deg, deg]), s2 / PRIOR_SD["fe"] ** 2
+        self.lam = np.array([off, off, deg, deg, deg])
+        self.lam_car = np.array([s2 / PRIOR_SD["fe"] ** 2] + ([s2 / PRIOR_SD["deg_drv"] ** 2] * 3 if per_driver else []))
+        self.per_driver, self.width = per_driver, len(self.lam_car)
 
     def add(self, lap: int, r: pd.DataFrame | dict) -> None:
         if self.lap is not None and lap > self.lap and self.half_life:
@@ -54,26 +56,29 @@ class LocalState(_Cars):
             self.b *= f
         self.lap = lap
         s = self.slots(r["drv"])
-        size = 5 + len(self.slot)
+        size = 5 + self.width * len(self.slot)
         if size > len(self.b):
             g = size - len(self.b)
             self.A, self.b = np.pad(self.A, (0, g)), np.pad(self.b, (0, g))
         L, age, comp = r["l_scale"], r["age"] * r["l_scale"], r["comp"]
         X = np.zeros((len(s), size))
         X[:, 0], X[:, 1] = L * (comp == 0), L * (comp == 2)
+        at, row = 5 + self.width * s, np.arange(len(s))
+        X[row, at] = 1.0
         for c in range(3):
             X[:, 2 + c] = age * (comp == c)
-        X[np.arange(len(s)), 5 + s] = 1.0
+            if self.per_driver:
+                X[row, at + 1 + c] = X[:, 2 + c]
         self.A += X.T @ X
         self.b += X.T @ r["y"]
         self.n += len(s)
 
     def solve(self):
         M = self.A.copy()
-        M[np.diag_indices(len(M))] += np.concatenate([self.lam, np.full(len(self.slot), self.lam_fe)])
+        M[np.diag_indices(len(M))] += np.concatenate([self.lam, np.tile(self.lam_car, len(self.slot))])
         x = np.linalg.solve(M, self.b)
-        fe = x[5:]
-        return self.n, list(self.slot), fe, x[:5], float(np.median(fe)), np.zeros(0)
+        cars = x[5:].reshape(len(self.slot), self.width)
+        return self.n, list(self.slot), cars[:, 0], x[:5], float(np.median(cars[:, 0])), cars[:, 1:].ravel()
 
 
 class LinearState(_Cars):
@@ -153,12 +158,16 @@ def _rows(laps: DataFrame, y) -> DataFrame:
 
 
 def asof_local_fits(model: Model, rep_laps: DataFrame, deg_sd: float | None = IN_RACE_DEG_SD, half_life: float | None = IN_RACE_HALF_LIFE,
-                    step: int | None = None) -> DataFrame:
-    """Race-local terms as of every lap k (laps <= k only), shared terms held fixed; recent laps weigh more."""
+                    step: int | None = None, per_driver: bool = False) -> DataFrame:
+    """Race-local terms as of every lap k (laps <= k only), shared terms held fixed; recent laps weigh more.
+
+    With ``per_driver`` the column ``extra`` holds three wear deviations (SOFT, MEDIUM, HARD) per car, in the order of ``cars``.
+    """
     g = model.predict_global(rep_laps.select(*LAP_COLS, "race_laps"))
     sigma = model.sigma[0]
     rows = _rows(g, F.col("lap_time") - F.col("pred_global"))
-    return rows.mapInPandas(_stream(lambda: LocalState(sigma, deg_sd, half_life), step), OUT).drop("extra")
+    out = rows.mapInPandas(_stream(lambda: LocalState(sigma, deg_sd, half_life, per_driver), step), OUT)
+    return out if per_driver else out.drop("extra")
 
 
 def asof_linear_fits(rep_laps: DataFrame, step: int = 5) -> DataFrame:

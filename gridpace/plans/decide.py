@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpace.constants import CLIFF, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS
-from gridpace.functions.expr import hinge, rnd
+from gridpace.functions.expr import hinge, rnd, status_letter
 from gridpace.operators import backtest, bundle, decisions
 from gridpace.operators import metrics as m
 from gridpace.operators.asof_fit import asof_linear_fits, linear_prediction
@@ -16,6 +16,7 @@ from gridpace.plans.sqltext import feat_sql
 from gridpace.plans.sqltext import rnd as R
 from gridpace.registry import query
 from gridpace.session import stage
+from gridpace.sources.files import round_trip
 
 CAR = ["race_no", "drv"]
 KEY = ["race_no", "drv", "lap"]
@@ -248,3 +249,19 @@ def model_export(c):
         F.round("green", 2).alias("pit_green"), F.round("vsc_ratio", 3).alias("pit_vsc_ratio"), F.round("sc_ratio", 3).alias("pit_sc_ratio_measured"),
         F.lit(SC_RATIO_EFF).alias("sc_ratio_eff"), F.col("n_green").alias("n_stops"), F.transform("chain", lambda x: F.round(x, 5)).alias("chain"),
         F.round("p_sc", 4).alias("p_sc"), F.round("p_vsc", 4).alias("p_vsc"), terms.alias("terms"), F.col("max_age"))).alias("doc"))
+
+
+@query("d_14_replay_export", feat_sql(f"""
+select race_no, drv, count(*) as laps, count(*) filter (where pit_in) as stops, count(*) filter (where rep) as rep_laps, arg_max(substr(compound, 1, 1), lap) as last_tyre,
+  {R('max(t_end)', 2)} as last_clock from f where year = 2025 and dry_race group by all"""))
+def replay_export(c):
+    """Nested replay documents of the test season (one per car, chunked by lap block), written as JSON and read back."""
+    letter = status_letter(F.col("sc"), F.col("vsc"), F.col("red"))
+    lap = F.struct("lap", F.round("lap_time", 3).alias("time"), F.substring("compound", 1, 1).alias("tyre"), F.col("age"), letter.alias("status"),
+                   F.col("pit_in").cast("int").alias("pit"), F.col("rep").cast("int").alias("rep"), F.round("t_end", 6).alias("t"), F.col("position").alias("pos"))
+    f = c.laps.filter(F.col("dry_race") & F.col("year").isin(*TEST_YEARS))
+    doc = f.groupBy("race_no", "drv", "blk").agg(F.first("driver").alias("driver"), F.sort_array(F.collect_list(lap)).alias("laps"))  # one block of laps
+    back = c.memo("replay_json", lambda: round_trip(doc, "json", "replay-json"))
+    x = back.select("race_no", "drv", F.explode("laps").alias("l")).select("race_no", "drv", "l.*")
+    return x.groupBy("race_no", "drv").agg(F.count(F.lit(1)).alias("laps"), F.sum("pit").alias("stops"), F.sum("rep").alias("rep_laps"),
+                                           F.max_by("tyre", "lap").alias("last_tyre"), rnd(F.max("t"), 2).alias("last_clock"))

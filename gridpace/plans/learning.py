@@ -141,7 +141,7 @@ def monotone(c):
     _, dev = study(c)
     curve = stage(age_sweep(c, dev.filter("delta is not null")), "age-curve")
     out = []
-    for r in curve.select("compound").distinct().take(10):  # a handful of compounds
+    for r in curve.select("compound").distinct().collect():  # the tyre compounds
         one = curve.filter(F.col("compound") == r["compound"]).select("compound", F.col("age").cast("double").alias("age"), "median_delta")
         iso = IsotonicRegression(featuresCol="age", labelCol="median_delta", isotonic=True).fit(one)
         out.append(iso.transform(one).withColumnRenamed("prediction", "monotone_delta"))
