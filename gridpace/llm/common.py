@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpace.session import work_dir
@@ -53,3 +53,16 @@ def partitions(spark: SparkSession) -> int:
 def hinted(df: DataFrame, rows: int, at_most: int) -> DataFrame:
     """Broadcast ``df`` where its counted ``rows`` are at most ``at_most``; else Spark shuffles both sides of the join."""
     return F.broadcast(df) if rows <= at_most else df
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, rank: str = "rank") -> DataFrame:
+    """``df``, saved, with its 0-based place in a global order.
+
+    Rows are range-partitioned and sorted; a place is the offset of its partition plus the place in it, so only one
+    row per partition is added up in one task.
+    """
+    s = save(df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), name)
+    sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    at = sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
+    return s.join(F.broadcast(at), "_p").withColumn(rank, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
