@@ -140,8 +140,10 @@ def split_level(nodes: DataFrame, level: int, depth: int, total: int, n_sources:
         kids = kids.groupBy("node", "p").agg(F.sort_array(F.collect_list(F.struct("c", "q"))).alias("kids"), F.sum("q").alias("n"))
         kids = kids.withColumn("x", edge(first + leaves // 2) - edge(first)) if drawn is None else kids.join(drawn, ["node", "p"])
 
-        def fold(a: Column, k: Column, digit=digit) -> Column:
-            x = hypergeometric(k["q"], a["left"], a["need"], _uniform(F.lit(level), F.lit(digit), F.col("node"), k["c"]))
+        salt = F.lit(digit)
+
+        def fold(a: Column, k: Column) -> Column:
+            x = hypergeometric(k["q"], a["left"], a["need"], _uniform(F.lit(level), salt, F.col("node"), k["c"]))  # noqa: B023  used at once
             return let(x, lambda v: F.struct((a["left"] - k["q"]).alias("left"), (a["need"] - v).alias("need"),
                                              F.array_append(a["out"], F.struct(k["c"].alias("c"), v.alias("x"))).alias("out")))
         start = F.struct(F.col("n").alias("left"), F.col("x").alias("need"), F.array().cast("array<struct<c:bigint,x:bigint>>").alias("out"))
