@@ -38,7 +38,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once, also where ``body`` uses it inside other lambdas."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def text_key(text: Column) -> list[Column]:

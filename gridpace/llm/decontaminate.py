@@ -7,6 +7,8 @@ every document with a shared window; the hits are extended to whole windows and
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,10 @@ def runs(w: Column, n: Column | int, starts: Column) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i, n), " ").alias("run")))
 
 
+def every_run(w: Column, *, n: int) -> Column:
+    return F.when(F.size(w) >= n, runs(w, n, F.sequence(F.lit(1), F.size(w) - (n - 1))))
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """One row per distinct window: its words, its length and the ids of the items that hold it."""
     w = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -89,9 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         parts.append(held.select("k1", "k2", F.lit(window).alias("len"), F.explode(let(
             words(text), lambda w: runs(w, window, near(w, F.col("fps"))))).alias("r")))
     for n in sorted(set(counts) - {window}):  # whole items that are shorter than a window have no fingerprint of its span
-        parts.append(unique.select("k1", "k2", F.lit(n).alias("len"), F.explode(let(words(text), lambda w, n=n: F.when(
-            F.size(w) >= n, runs(w, n, F.sequence(F.lit(1), F.size(w) - (n - 1))))))
-            .alias("r")))
+        parts.append(unique.select("k1", "k2", F.lit(n).alias("len"), F.explode(let(words(text), partial(every_run, n=n))).alias("r")))
     found = None
     for p in parts:
         p = p.select("k1", "k2", "len", F.col("r.start").alias("start"), F.col("r.run").alias("run"))
