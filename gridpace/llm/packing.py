@@ -61,11 +61,11 @@ def text_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return data[off[0]: off[-1]], off - off[0]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end byte of every run without white space inside a document, and each document's first word (and the end)."""
+def words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end byte of every run without ``breaks`` inside a document, and each document's first word (and the end)."""
     if not data.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(off.size, np.int64)
-    space = SPACE[data]
+    space = breaks[data]
     edge = np.empty(data.size + 1, bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = space[:-1]
