@@ -1,4 +1,4 @@
 """All registered queries of the subpackage, with their SQL."""
 
-from gridpace.llm import anchors, decontaminate, langid, mixing, suffixes, tokencount, urlrep  # noqa: F401  registers on import
+from gridpace.llm import anchors, bagminhash, decontaminate, langid, mixing, postings, suffixes, tokencount, urlrep  # noqa: F401  registers on import
 from gridpace.llm.common import ORACLES, QUERIES  # noqa: F401
