@@ -73,7 +73,7 @@ def anchored(data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray
             continue
         p = at[i]
         head = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1)))
-        out[0].append(i[head] + a), out[1].append(np.diff(np.append(head, i.size))), out[2].append(p[head] + a), out[3].append(h[p[head]])
+        out[0].append(i[head] + a), out[1].append(np.diff(np.append(head, i.size))), out[2].append(p[head] + a), out[3].append(pk.mix(h[p[head]]))  # mixed, as least hashes are all small
     return tuple(np.concatenate(x) if x else np.zeros(0, U if k == 3 else np.int64) for k, x in enumerate(out))
 
 
