@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpace.llm import decontaminate
+from gridpace.llm import bagminhash, decontaminate, mixing, quality, suffixes
 from gridpace.llm.common import save, table
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage by the contamination rule."""
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier does not reject."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return bagminhash.keep_one(docs)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 100-byte strings that start earlier; n_chars counts what is left."""
+    out = suffixes.shortened(docs)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark passages."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontaminated)]
-ORACLE_SQL = None
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the words taken, and the shard and order of every copy."""
+    return mixing.mix(docs).where("taken > 0")
+
+
+STAGES = [("quality", quality_filter), ("near-dedup", near_dedup), ("suffix-array", repeat_removal), ("decontamination", decontamination), ("mixing", mixture)]
+ORACLE_SQL = None  # hashes, a fitted model and random draws; tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ that of a bucket, whatever the corpus.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ WINDOW = 100  # bytes of a repeat
 GRAM = 24  # bytes of an anchor
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31  # every difference modulo 31 is one of two members
 BUCKET_RUNS = 1 << 17  # runs per bucket if all text were repeated
-HOT = 1 << 14  # an anchor with more occurrences has its windows dealt out one by one
+HOT = 1 << 14  # an anchor with as many occurrences has its windows dealt out one by one, by their hashes
 SEGMENT = 1 << 19
 U = np.uint64
 
@@ -146,14 +147,15 @@ def flag_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SENT = "bucket bigint, chunk bigint, body binary, len binary, off binary, doc binary, start binary, pos binary"
 
 
-def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans and kept_bytes; clashing columns are replaced.
 
     Texts are UTF-8 bytes. A byte goes if any string of ``window`` bytes over it also starts earlier: in a smaller doc_id,
     or earlier in the same document. A null id is the smallest; rows that repeat an id are one document to that rule: equal
     starts are not earlier. Null, empty and short texts lose nothing; a null text is empty. ``n_spans`` counts
     maximal removed runs. Texts are read whole, a chunk of about CHUNK_BYTES or one longer document at a
-    time. An empty table gives no rows.
+    time. An empty table gives no rows. Windows whose anchor occurs ``common`` times or more are compared by 64-bit hashes, so that no bucket
+    gathers them; the result is the same.
     """
     if not 2 * PERIOD + GRAM <= window <= 255 - window + GRAM:
         raise ValueError("the window must be from 86 to 139 bytes")
@@ -186,7 +188,7 @@ def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         total = np.bincount(inv, n)[inv]
         kept, rows, cut = pk.pick(h, sizes, total >= 2)
         t = t.select(["bucket", "chunk"]).take(pa.array(rows))
-        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "h": pk.binary(kept, cut), "hot": pk.binary((total >= HOT)[total >= 2].astype(np.uint8), cut)})
+        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "h": pk.binary(kept, cut), "hot": pk.binary((total >= common)[total >= 2].astype(np.uint8), cut)})
 
     def sent(chunk: int, bucket: np.ndarray, cut: np.ndarray, **values) -> pa.Table:
         """Rows to the buckets; ``body`` is given with its own slices."""
@@ -327,6 +329,23 @@ def removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(remove, schema)
 
 
+def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated bytes cut from their text, and with what is left of a cut character; other columns stay.
+
+    A null text stays null.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column("text")
+            new = [x.as_py().decode("utf-8", "ignore") if t.is_valid else None for x, t in zip(b.column("kept_bytes"), old)]
+            cols = [b.column(c) for c in schema.names]
+            cols[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+    return removal(docs, window).select(*docs.columns, "kept_bytes").mapInArrow(run, schema)
+
+
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removal(table(spark, sf_dir, "documents").select("doc_id", "text"))
