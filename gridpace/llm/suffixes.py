@@ -34,13 +34,13 @@ U = np.uint64
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """The hash of every run of GRAM = 24 bytes, by doubling."""
-    x, q = {1: pk.LUT[data]}, pk.Q
+    power = lambda n: U(pow(int(pk.Q), n, 1 << 64))
+    x = {1: pk.LUT[data]}
     for n in (1, 2, 4, 8):
-        x[2 * n] = x[n][:-n] * q + x[n][n:]
-        q = q * q
-        if n < 4:
+        x[2 * n] = x[n][:-n] * power(n) + x[n][n:]
+        if n < 8:
             del x[n]
-    h = x[16][:-8] * (pk.Q ** U(8)) + x[8][16:]
+    h = x[16][:-8] * power(8) + x[8][16:]
     h ^= h >> U(32)
     h *= U(0xBF58476D1CE4E5B9)
     h ^= h >> U(29)
