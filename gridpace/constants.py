@@ -44,12 +44,6 @@ CLIFF = 0.05
 SC_RATIO_EFF = 0.5
 AGE_MARGIN = 45  # the lattice holds ages 0 .. race_laps + 45
 
-# Counterfactual re-timing.
-NEUTRAL_TYRE_SHARE = 0.35
-IN_LAP_SHARE, OUT_LAP_SHARE = 0.45, 0.55
-ADDED_SC_FACTOR = 1.38
-QUEUE_SPACING_S = 0.9
-
 # A (race, driver) lap series longer than this is scanned in blocks of this
 # many laps, so no window partition ever holds more than one block.
 BLOCK_LAPS = 4096

@@ -25,7 +25,10 @@ def model(ctx) -> ridge.Model:
     return ctx.memo("model", lambda: ridge.fit(fit_laps(ctx).filter("rep")))
 
 
-def boots(ctx, replicates: int = 4) -> ridge.Model:
+REPLICATES = 30  # fixed value: bootstrap refits
+
+
+def boots(ctx, replicates: int = REPLICATES) -> ridge.Model:
     """Race-bootstrap refits; all replicates are fitted together."""
     def make():
         rep = fit_laps(ctx).filter("rep")

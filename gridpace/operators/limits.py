@@ -21,8 +21,8 @@ def stint_limits(laps: DataFrame, q: float = 0.95, min_stints: int = 10) -> Data
 
 
 def circuit_constants(laps: DataFrame) -> DataFrame:
-    """Last lap scale and race length in (race, driver, lap) order, and the median track temperature (readings to 0.01)."""
-    last = F.struct("race_id", "driver", "lap")
+    """Last lap scale and race length in (year, round, driver, lap) order, and the median track temperature (readings to 0.01)."""
+    last = F.struct("year", "round_no", "driver", "lap")
     return laps.groupBy("circuit").agg(
         F.max_by("l_scale", F.when(F.col("l_scale").isNotNull(), last)).alias("l_scale"),
         F.percentile("track_temp", F.lit(0.5)).alias("track_temp"), F.max_by("race_laps", last).alias("race_laps"))

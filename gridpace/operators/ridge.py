@@ -280,9 +280,12 @@ class Model:
             cf = F.broadcast(cf)
         return laps.join(cf, "circuit", "left")
 
-    def global_column(self, rep: int = 0) -> Column:
-        """Everything except race-local terms, over lap columns plus ``circ_coef``; unknown circuits add nothing."""
-        g = {(b, k): float(v) for (b, k, _), v in zip(GLOBAL, self.shared[rep][0])}
+    def global_column(self, rep: int | None = 0) -> Column:
+        """Everything except race-local terms, over lap columns plus ``circ_coef``; unknown circuits add nothing.
+
+        Without ``rep`` the terms are taken from each row's array ``terms``.
+        """
+        g = {(b, k): F.col("terms")[i] if rep is None else float(self.shared[rep][0][i]) for i, (b, k, _) in enumerate(GLOBAL)}
         L, age = F.col("l_scale"), F.col("age").cast("double")
         temp = (F.col("track_temp") - 35.0) / 10.0
         circ = lambda i: F.coalesce(F.col("circ_coef")[i], F.lit(0.0))
@@ -303,6 +306,18 @@ class Model:
     def predict_global(self, laps: DataFrame, out: str = "pred_global", rep: int = 0) -> DataFrame:
         return self.with_circuit(laps, rep).withColumn(out, self.global_column(rep)).drop("circ_coef")
 
+    def predict_replicates(self, laps: DataFrame, out: str = "pred") -> DataFrame:
+        """Every row of (replicate, lap columns) by its own replicate, in one pass over ``laps``."""
+        terms = self.spark.createDataFrame([(r, [float(v) for v in g]) for r, (g, _) in self.shared.items()], "replicate int, terms array<double>")
+        circ = self.spark.createDataFrame([(r, c, [float(v) for v in x]) for r, (_, cs) in self.shared.items() for c, x in cs.items()],
+                                          "replicate int, circuit string, circ_coef array<double>")
+        if len(self.shared) <= 10_000:  # one row per replicate
+            terms = F.broadcast(terms)
+        df = laps.join(terms, "replicate").join(circ, ["replicate", "circuit"], "left").withColumn("_g", self.global_column(None)).drop("circ_coef", "terms")
+        local = self.local.drop("n_obs")
+        df = df.join(local, ["replicate", "race_no"], "left")
+        return df.withColumn(out, F.col("_g") + local_column()).drop("_g", "cars", "fe", "race_coef", "fe_default")
+
     def predict_local(self, laps: DataFrame, local: DataFrame, on: list[str], out: str = "pred", rep: int = 0) -> DataFrame:
         """Global part plus race-local terms joined on ``on``; a car without a base takes the field's median base."""
         df = self.predict_global(laps, "_g", rep)
@@ -363,11 +378,7 @@ def fit(rep_laps: DataFrame, sigma: float = FIRST_PASS_SIGMA, passes: int = 2, w
         model = Model(spark, shared, stage(local, "race-local"), sigmas)
         if weights is not None and p == 0:
             laps = laps.drop("replicate").join(weights, "race_no")
-        scored = None
-        for r in reps:
-            part = laps if weights is None else laps.filter(F.col("replicate") == r)
-            s = model.predict_local(part, model.local.filter(F.col("replicate") == r).drop("replicate"), ["race_no"], rep=r)
-            scored = s if scored is None else scored.unionByName(s)
+        scored = model.predict_replicates(laps)
         scored = scored.withColumn("resid", F.col("lap_time") - F.col("pred")).drop("pred")
         scored = stage(scored, "residuals")
         sigmas = robust_sigma(scored, weights is not None)

@@ -1,6 +1,6 @@
 """Telemetry series: cleaning, arc length, resampling, corners.
 
-A series is ordered by a unique integer ``o``. Neighbours and running sums use
+A series is ordered by the unique pair ``o`` of microsecond and event id. Neighbours and running sums use
 the scans of ``scan``; when one series is huge they work per time bucket.
 After resampling every series has exactly ``N_POINTS`` rows.
 """
@@ -23,7 +23,7 @@ def samples(ctx) -> tuple[DataFrame, str | None]:
     us = F.expr("timestampdiff(microsecond, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     k = F.get_json_object("props", "$.k").cast("double")
     ev = ctx.table("events")
-    df = ev.select(F.col("user_id").alias("key"), (us * 1048576 + F.col("event_id") % 1048576).alias("o"), (us / F.lit(1e6)).alias("t"),
+    df = ev.select(F.col("user_id").alias("key"), F.struct(us.alias("us"), F.col("event_id").alias("e")).alias("o"), (us / F.lit(1e6)).alias("t"),
                    F.floor(F.col("value") / 4).cast("double").alias("x"), F.floor(k / 20).cast("double").alias("y"),
                    (F.col("value") % 23 * 10 + k).alias("speed"), (F.col("event_type") == "click").cast("double").alias("drs"),
                    F.expr(f"timestampdiff(microsecond, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div {BUCKET_US}").alias("bucket"))
@@ -52,7 +52,7 @@ def resample(df: DataFrame, at: str, channels: list[str], n: int = N_POINTS, blk
     Each sample generates the grid positions between itself and the next, so
     no join and no per-key collection is needed.
     """
-    df = df.withColumn("_neg", -F.col("o")).withColumn("_nb", -F.col(blk) if blk else F.lit(0))
+    df = df.withColumn("_neg", F.struct(-F.col("o.us"), -F.col("o.e"))).withColumn("_nb", -F.col(blk) if blk else F.lit(0))
     pack = F.struct(at, *channels)
     df = running(df, ["key"], {"_n": ("last", pack)}, order="_neg", blk="_nb" if blk else None)
     ends = df.groupBy("key").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cleaning", "files", "joins", "windows", "aggregates", "ordering", "models", "decide", "scalars", "tracks", "learning", "scenarios", "streams"]
+FAMILIES = ["cleaning", "files", "joins", "windows", "aggregates", "ordering", "models", "decide", "scalars", "tracks", "learning", "pace", "streams"]
 
 
 def load_all() -> None:

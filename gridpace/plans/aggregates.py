@@ -187,14 +187,14 @@ def limits(c):
 
 
 @query("a_15_circuit_constants", feat_sql(f"""
-select circuit, {R('arg_max(l_scale, row(race_id, driver, lap))', 8)} as l_scale, {R('quantile_cont(track_temp, 0.5)')} as track_temp,
-  arg_max(race_laps, row(race_id, driver, lap)) as race_laps from f group by circuit"""))
+select circuit, {R('arg_max(l_scale, row(year, round_no, driver, lap))', 8)} as l_scale, {R('quantile_cont(track_temp, 0.5)')} as track_temp,
+  arg_max(race_laps, row(year, round_no, driver, lap)) as race_laps from f group by circuit"""))
 def constants(c):
     return circuit_constants(c.laps).select("circuit", rnd("l_scale", 8).alias("l_scale"), rnd("track_temp").alias("track_temp"), "race_laps")
 
 
 @query("a_16_circuit_base_pace", feat_sql(f"""
-, lr as (select circuit, arg_max(race_no, year * 100000 + round_no) as race_no from f group by circuit),
+, lr as (select circuit, arg_max(race_no, row(year, round_no)) as race_no from f group by circuit),
 fe as (select distinct race_no, drv, drv_med from f where drv_med is not null)
 select circuit, {R('quantile_cont(drv_med, 0.5)')} as base from lr join fe using (race_no) group by circuit""".strip()))
 def base_pace(c):
@@ -239,7 +239,7 @@ def dedupe(c):
 
 
 FORECAST_SQL = """ckr as (select race_no, drv, k, lap, lap_time, row_number() over (partition by race_no, drv, k order by lap desc) as rn, count(*) over (partition by race_no, drv, k) as n_obs,
-  count(*) over (partition by race_no, k) as race_obs from f, (select unnest(generate_series(5, 500, 5)) as k) where rep and lap <= k and k < race_laps - 1),
+  count(*) over (partition by race_no, k) as race_obs from f, (select unnest(generate_series(5, (select max(race_laps) from f), 5)) as k) where rep and lap <= k and k < race_laps - 1),
 ck as (select race_no, drv, k, max(case when rn = 1 then lap_time end) as last_lap, avg(case when rn <= 5 then lap_time end) as mean_last5, any_value(n_obs) as n_obs
   from ckr where race_obs >= 30 group by all having any_value(n_obs) >= 3),
 fc as (select f.race_no, f.drv, f.lap, f.year, f.lap_time as y, k, last_lap, mean_last5, n_obs, f.lap - k as h from f join ck on f.race_no = ck.race_no and f.drv = ck.drv and f.lap > k where f.rep)"""
@@ -421,7 +421,7 @@ def most_neutralised(c):
 
 
 @query("a_37_expected_neutralisations", feat_sql(f"""
-, cl as (select circuit, arg_max(race_laps, row(race_id, driver, lap)) as race_laps, count(*) filter (where pit_in) as stops from f group by circuit)
+, cl as (select circuit, arg_max(race_laps, row(year, round_no, driver, lap)) as race_laps, count(*) filter (where pit_in) as stops from f group by circuit)
 select circuit, {R('p_sc * (race_laps - 1)')} as sc_per_race, {R('p_vsc * (race_laps - 1)')} as vsc_per_race, stops from cl join neut using (circuit)""".strip(), NEUTRAL_SQL))
 def expected(c):
     cl = circuit_constants(c.laps).select("circuit", "race_laps").join(c.laps.groupBy("circuit").agg(F.count_if("pit_in").alias("stops")), "circuit")

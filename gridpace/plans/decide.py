@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridpace.constants import CLIFF, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS
+from gridpace.constants import CLIFF, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS, TRAIN_YEARS
 from gridpace.functions.expr import hinge, rnd, status_letter
 from gridpace.operators import backtest, bundle, decisions
 from gridpace.operators import metrics as m
@@ -26,12 +26,12 @@ WEAR_LAW = [("SOFT", -0.5, 0.09, 0.004), ("MEDIUM", 0.0, 0.05, 0.003), ("HARD",
 
 
 @query("d_01_lap_cost_table", feat_sql(f"""
-, cc as (select circuit, arg_max(l_scale, row(race_id, driver, lap)) as l_scale, arg_max(race_laps, row(race_id, driver, lap)) as race_laps from f group by circuit),
+, cc as (select circuit, arg_max(l_scale, row(year, round_no, driver, lap)) as l_scale, arg_max(race_laps, row(year, round_no, driver, lap)) as race_laps from f group by circuit),
 wl(compound, off, slope, late) as (values {', '.join(f"('{c}', {a}::double, {b}::double, {l}::double)" for c, a, b, l in WEAR_LAW)}),
 lim as (select cc.circuit, wl.*, l_scale, race_laps, coalesce(l.max_age, g.max_age) as max_age from cc cross join wl left join lims l on l.circuit = cc.circuit and l.compound = wl.compound
   join lims g on g.circuit = '_global' and g.compound = wl.compound)
 select circuit, compound, a.age as age, {R('l_scale * (off + slope * a.age + late * greatest(a.age - 18, 0) + 0.05::double * pow(greatest(a.age - max_age, 0), 2))', 5)} as cost
-from lim join (select unnest(generate_series(0, 400)) as age) a on a.age <= race_laps + 45""".strip(), LIMIT_SQL))
+from lim join (select unnest(generate_series(0, (select max(race_laps) + 45 from f))) as age) a on a.age <= race_laps + 45""".strip(), LIMIT_SQL))
 def lap_cost(c):
     """Cost of a lap at every tyre age for every circuit and compound, ages 0 .. race length + 45."""
     law = c.spark.createDataFrame(WEAR_LAW, "compound string, off double, slope double, late double")
@@ -71,9 +71,10 @@ def policy_lookup(c):
 
 @query("d_04_replicate_agreement")
 def agreement(c):
-    """Share of bootstrap replicates that make the majority call."""
-    share = a31(c)
-    return share.withColumn("agreement", F.greatest(F.col("p_pit"), 1 - F.col("p_pit")))
+    """Share of bootstrap replicates that make the point model's call."""
+    keys = ["circuit", "lap", "c", "a", "f", "s"]
+    point = decisions.policy_table(c).select(*keys, (F.col("action") >= 0).alias("point_pit"))
+    return a31(c).join(point, keys).withColumn("agreement", F.when(F.col("point_pit"), F.col("p_pit")).otherwise(1 - F.col("p_pit")))
 
 
 def a31(c):
@@ -149,21 +150,34 @@ def race_time(c):
                                  (F.avg(e("naive") / F.col("actual")) * 100).alias("naive_mape_pct"))
 
 
+FIT_PIT_SQL = PIT_TABLE_SQL.replace("from stops where loss_green between 5 and 80)", f"from stops where loss_green between 5 and 80 and year in {TRAIN_YEARS})")
+
+
 @query("d_11_pit_loss_backtest", feat_sql(f"""
 , t as (select s.year, s.loss_green, coalesce(p.green, g.green) as pred from stops s left join ptab p on p.circuit = s.circuit join ptab g on g.circuit = '_global'
-  where regime = 0 and loss_green between 5 and 80)
+  where regime = 0 and loss_green between 5 and 80 and s.year not in {TRAIN_YEARS})
 select year, count(*) as stops, {R('avg(abs(loss_green - pred))', 5)} as mae_circuit, {R('avg(abs(loss_green - 22.0))', 5)} as mae_constant from t where loss_green < pred + 8 group by year""".strip(),
-PIT_TABLE_SQL))
+FIT_PIT_SQL))
 def pit_loss_backtest(c):
-    """Each green stop against its circuit's table value (or the global one) and against a constant 22 s."""
+    """Each green stop after the fit seasons against its circuit's table value (or the global one) and against a constant 22 s."""
     from gridpace.operators.pit import pit_loss_table
-    stops = naive_stops(c).filter("regime = 0 and loss_green between 5 and 80")
-    tab = c.memo("naive_pit_table", lambda: stage(pit_loss_table(naive_stops(c)), "naive-pit-table"))
-    t = bundle.with_global(stops, tab, ["green"]).filter("loss_green < green + 8")
+    tab = c.memo("naive_pit_table", lambda: stage(pit_loss_table(naive_stops(c).filter(F.col("year").isin(*TRAIN_YEARS))), "naive-pit-table"))
+    return pit_loss_errors(naive_stops(c).filter(~F.col("year").isin(*TRAIN_YEARS)), tab)
+
+
+def pit_loss_errors(stops, table):
+    stops = stops.filter("regime = 0 and loss_green between 5 and 80")
+    t = bundle.with_global(stops, table, ["green"]).filter("loss_green < green + 8")
     return t.groupBy("year").agg(F.count(F.lit(1)).alias("stops"), rnd(F.avg(F.abs(F.col("loss_green") - F.col("green"))), 5).alias("mae_circuit"),
                                  rnd(F.avg(F.abs(F.col("loss_green") - 22.0)), 5).alias("mae_constant"))
 
 
+@query("d_11_pit_loss_backtest_model")
+def pit_loss_backtest_model(c):
+    """The same for losses against the model's clean laps, with the table of the seasons that the model was fitted to."""
+    return pit_loss_errors(bundle.model_stops(c).filter(~F.col("year").isin(*bundle.FIT_YEARS)), bundle.pit_table(c))
+
+
 @query("d_12_forecast_backtest_naive", feat_sql(f"""
 select race_no, k, count(*) as n, {R('avg(abs(y - last_lap))')} as mae_last, {R('avg(abs(y - mean_last5))')} as mae_mean5 from fc group by all""", FORECAST_SQL))
 def forecast_naive(c):
@@ -196,9 +210,9 @@ def inrace_forecasts(c):
 def forecast_models(c):
     """Error by horizon bin for the four forecasters."""
     u = inrace_forecasts(c).unpivot(["h", "y", "year"], ["last_lap", "mean_last5", "inrace_linear", "structural"], "model", "p")
-    b = F.expr("case when h <= 5 then '1-5' when h <= 10 then '6-10' when h <= 20 then '11-20' else '21-99' end")
+    b = F.expr("case when h <= 5 then '1-5' when h <= 10 then '6-10' when h <= 20 then '11-20' when h <= 99 then '21-99' end")
     u = u.withColumn("bin", F.explode(F.array(F.lit("all"), b)))
-    return m.regression_metrics(u, ["model", "bin"], "y", "p").select("model", "bin", "n", "mae", "rmse")
+    return m.regression_metrics(u.where("bin is not null"), ["model", "bin"], "y", "p").select("model", "bin", "n", "mae", "rmse")
 
 
 @query("m_11_inrace_linear_baseline")
@@ -215,6 +229,12 @@ def one_lap_ahead(c):
     return p.filter("pred is not null").select(*KEY, "lap_time", "rep", F.round("pred", 3).alias("pred"))
 
 
+@query("a_35_replay_error_per_driver")
+def replay_error(c):
+    """Mean absolute error of the one-lap-ahead predictions on representative laps, per race and driver."""
+    return one_lap_ahead(c).filter("rep").groupBy(*CAR).agg(F.count(F.lit(1)).alias("laps"), F.avg(F.abs(F.col("lap_time") - F.col("pred"))).alias("mae"))
+
+
 @query("j_13_scored_row_lookup")
 def scored_lookup(c):
     """Replay laps of the test season with the optimiser's gain where the lap was a decision."""

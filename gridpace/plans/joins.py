@@ -107,11 +107,10 @@ def controls(c):
 
 
 @query("j_07_position_neighbours", feat_sql("""
-select f.race_no, f.drv, f.lap, coalesce(cast(a.pit_in as int), 0) as ahead_stopped_prev, coalesce(cast(b.pit_in as int), 0) as behind_stopped_prev,
-  coalesce(a.age - p.age, 0) as ahead_age_diff, coalesce(b.age - p.age, 0) as behind_age_diff
-from f left join f p on f.race_no = p.race_no and f.drv = p.drv and f.lap - 1 = p.lap
-left join f a on a.race_no = p.race_no and a.lap = p.lap and a.position = p.position - 1
-left join f b on b.race_no = p.race_no and b.lap = p.lap and b.position = p.position + 1"""))
+, line as (select race_no, drv, lap, cast(lag(pit_in) over w as int) as a_pit, cast(lead(pit_in) over w as int) as b_pit, lag(age) over w - age as a_diff, lead(age) over w - age as b_diff
+  from f window w as (partition by race_no, lap order by position))
+select race_no, drv, lap, coalesce(lag(a_pit) over c, 0) as ahead_stopped_prev, coalesce(lag(b_pit) over c, 0) as behind_stopped_prev,
+  coalesce(lag(a_diff) over c, 0) as ahead_age_diff, coalesce(lag(b_diff) over c, 0) as behind_age_diff from line window c as (partition by race_no, drv order by lap)""".strip()))
 def neighbours(c):
     """The cars one place ahead and behind on the previous lap; a doubled (lap, position) keeps one car."""
     f = c.laps.select(*KEY, "position", "age", "pit_in")
@@ -161,7 +160,7 @@ def rejoin(c):
 
 @query("j_10_asof_fan_out", feat_sql(f"""
 select race_no, k, count(*) as obs, {R('sum(lap_time)', 3)} as total, count(distinct drv) as cars from f,
-  (select unnest(generate_series(5, 500, 5)) as k) where rep and lap <= k and k < race_laps - 1 group by all"""))
+  (select unnest(generate_series(5, (select max(race_laps) from f), 5)) as k) where rep and lap <= k and k < race_laps - 1 group by all"""))
 def fan_out(c):
     """Every representative lap joins the observation sets of all later checkpoints k = 5, 10, ..., by exploding its own list."""
     ks = F.expr("case when race_laps - 2 >= greatest(5, (lap + 4) div 5 * 5) then sequence(greatest(5, (lap + 4) div 5 * 5), race_laps - 2, 5L) end")
@@ -188,7 +187,7 @@ def fallback(c):
 
 
 @query("j_15_newest_dry_race", feat_sql("""
-select circuit, arg_max(race_id, year * 10000000 + round_no) as race_id from f where dry_race group by circuit"""))
+select circuit, arg_max(race_id, row(year, round_no)) as race_id from f where dry_race group by circuit"""))
 def newest_dry(c):
     return c.laps.filter("dry_race").groupBy("circuit").agg(F.max_by("race_id", F.struct("year", "round_no")).alias("race_id"))
 

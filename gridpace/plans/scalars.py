@@ -163,7 +163,7 @@ def decomposition(c):
 
 @query("f_17_nested_documents", feat_sql(f"""
 select cl.circuit, cl.race_laps as laps, {R('p_sc', 8)} as p_sc, {R('1 - p_sc - p_vsc', 8)} as stay_green
-from (select circuit, arg_max(race_laps, row(race_id, driver, lap)) as race_laps from f group by circuit) cl join neut using (circuit)""", NEUTRAL_SQL))
+from (select circuit, arg_max(race_laps, row(year, round_no, driver, lap)) as race_laps from f group by circuit) cl join neut using (circuit)""", NEUTRAL_SQL))
 def nested(c):
     """Circuit constants nested in one document and read back out of it."""
     doc = circuit_constants(c.laps).join(neutral_table(lap_states(c)), "circuit").select(

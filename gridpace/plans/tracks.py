@@ -11,7 +11,7 @@ from gridpace.plans.sqltext import rnd as R
 from gridpace.registry import query
 
 SAMPLES_SQL = """sm as (
-  select user_id as key, (epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00')) * 1048576 + event_id % 1048576 as o,
+  select user_id as key, struct_pack(us := epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00'), e := event_id) as o,
     (epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00')) / 1000000.0::double as t, floor(value / 4)::double as x,
     floor(cast(json_extract_string(props, '$.k') as double) / 20)::double as y, value % 23 * 10 + cast(json_extract_string(props, '$.k') as double) as speed,
     case when event_type = 'click' then 1.0::double else 0.0 end as drs from events),
@@ -40,10 +40,10 @@ def repeated(c):
     return t.moved(df, blk).groupBy("key").agg(n().alias("points"), F.sum("x").cast("bigint").alias("sx"), F.sum("y").cast("bigint").alias("sy"))
 
 
-@query("g_02_arc_length", tel_sql(f"select key, o, {R('s', 5)} as s from al"))
+@query("g_02_arc_length", tel_sql(f"select key, o.us as us, o.e as event_id, {R('s', 5)} as s from al"))
 def arc(c):
     df, blk = t.samples(c)
-    return t.arc_length(t.moved(df, blk), blk).select("key", "o", rnd("s", 5).alias("s"))
+    return t.arc_length(t.moved(df, blk), blk).select("key", F.col("o.us").alias("us"), F.col("o.e").alias("event_id"), rnd("s", 5).alias("s"))
 
 
 @query("g_03_resample", tel_sql(f"select key, i, {R('x', 5)} as x, {R('y', 5)} as y, {R('speed', 4)} as speed from grid"))

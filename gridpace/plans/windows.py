@@ -123,7 +123,7 @@ def pace_drop(c):
 
 
 @query("w_12_last_and_mean_of_five", feat_sql(f"""
-, k as (select f.*, k, row_number() over (partition by race_no, drv, k order by lap desc) as rn from f, (select unnest(generate_series(5, 500, 5)) as k)
+, k as (select f.*, k, row_number() over (partition by race_no, drv, k order by lap desc) as rn from f, (select unnest(generate_series(5, (select max(race_laps) from f), 5)) as k)
   where rep and lap <= k and k < race_laps - 1)
 select race_no, drv, k, {R('max(case when rn = 1 then lap_time end)')} as last_lap, {R('avg(case when rn <= 5 then lap_time end)')} as mean_last5
 from k group by all""".strip()))
@@ -219,7 +219,7 @@ select race_no, drv, stint, min(lap) as from_lap, max(lap) as to_lap, arg_min(co
 from laps group by race_no, drv, stint"""))
 def segments(c):
     """Gaps and islands: a new stint starts after every pit lap."""
-    from gridpace.operators.scenario import stints_of
+    from gridpace.operators.field import stints_of
     return stints_of(c.raw_laps, c.blk).select("race_no", "drv", "stint", "from_lap", "to_lap", "compound", "start_age")
 
 

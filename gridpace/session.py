@@ -26,15 +26,23 @@ def local_session(cores: str | int = 8, app: str = "gridpace", **conf) -> SparkS
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local session may go without: it gets a folder of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gridpace-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete the tables that this session has staged; for the end of a session."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/gridpace/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/gridpace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 

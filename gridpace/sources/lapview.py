@@ -96,7 +96,7 @@ def lap_view(ctx) -> DataFrame:
     # at most one row per car on a given lap, so this window is small
     pos = Window.partitionBy("race_no", "lap").orderBy("end_us", "drv")
     return laps.select(
-        "race_no", F.expr("concat(2021 + race_no % 5, '_', lpad(cast(race_no div 5 + 1 as string), 3, '0'))").alias("race_id"),
+        "race_no", F.expr("concat(2021 + race_no % 5, '_', lpad(cast(race_no div 5 + 1 as string), greatest(3, length(cast(race_no div 5 + 1 as string))), '0'))").alias("race_id"),
         F.expr("race_no div 5 + 1").alias("round_no"), F.expr("concat('C', race_no % 12)").alias("circuit"),
         "race_laps", "drv", F.expr("concat('D', drv)").alias("driver"), F.expr("concat('T', drv div 2)").alias("team"),
         "drv_laps", "lap", "stint", F.row_number().over(pos).cast("bigint").alias("position"),
@@ -152,7 +152,7 @@ l5 as (
 l6 as (
   select *, cast(drv * 300000 + sum(lap_us) over (partition by race_no, drv order by lap rows unbounded preceding) as bigint) as end_us from l5),
 laps as materialized (
-  select race_no, concat(2021 + race_no % 5, '_', lpad(cast(race_no // 5 + 1 as varchar), 3, '0')) as race_id, race_no // 5 + 1 as round_no,
+  select race_no, concat(2021 + race_no % 5, '_', lpad(cast(race_no // 5 + 1 as varchar), greatest(3, cast(length(cast(race_no // 5 + 1 as varchar)) as int)), '0')) as race_id, race_no // 5 + 1 as round_no,
      concat('C', race_no % 12) as circuit, race_laps, drv, concat('D', drv) as driver, concat('T', drv // 2) as team, drv_laps, lap, stint,
      row_number() over (partition by race_no, lap order by end_us, drv) as position, lap_us, end_us - lap_us as start_us, end_us,
      cast(lap_us as double) / 1000000 as lap_time, cast(end_us - lap_us as double) / 1000000 as t_start, cast(end_us as double) / 1000000 as t_end,
