@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpace.llm import packing as pk
@@ -23,8 +23,9 @@ from gridpace.llm.common import hinted, query, ranked, save, table, text_key
 SHINGLE = 5  # words
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair at the threshold is missed by all bands once in 300,000
-STARS = 4  # rounds against one leader per bucket before the pairs that are left are listed
+STARS = 2  # rounds against one leader per bucket before the pairs that are left are listed
 BATCH_BYTES = 2 << 20  # text signed at a time, or one longer document
+PART_ROWS = 100_000  # edges per partition
 BROADCAST_ROWS = 200_000  # keys of 24 bytes sent to every task; more are shuffled
 U = np.uint64
 G = U(0x9E3779B97F4A7C15)
@@ -102,7 +103,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, keys) of every document; no keys for a text without words."""
+    """(doc_id, k1, k2, keys, sig) of every document; no keys for a text without words. ``sig`` has 16 bits of each register."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")])
@@ -112,12 +113,21 @@ def signed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, j - i)
                 data, off = pk.text_bytes(part.column("text"))
                 d, h, c = shingles(data, off)
-                keys = band_keys(signatures(d, h, c, part.num_rows, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+                sig = signatures(d, h, c, part.num_rows, BANDS * ROWS)
+                keys = band_keys(sig, BANDS, ROWS).view(np.int64)
                 some = np.bincount(d, minlength=part.num_rows) > 0
                 at = np.append(0, np.cumsum(some * BANDS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))], ["doc_id", "k1", "k2", "keys"])
+                short = pa.ListArray.from_arrays(pa.array(at * ROWS), pa.array(sig[some].ravel().astype(np.uint16).view(np.int16)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), short],
+                                                 ["doc_id", "k1", "k2", "keys", "sig"])
                 i = j
-    return docs.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, keys array<bigint>")
+    return docs.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, keys array<bigint>, sig array<smallint>")
+
+
+def likely(a: Column, b: Column, least: float) -> Column:
+    """Whether two signatures agree in as many registers as a pair of that similarity does but once in a million."""
+    m = BANDS * ROWS
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= math.floor(m * least - 4.9 * math.sqrt(m * least * (1 - least)))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -148,57 +158,60 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return j.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge, by alternating large and small stars; every step is a written table."""
-    def shape(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    e = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = shape(e)
-    while before[0]:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows are worth."""
+    return df.coalesce(max(1, math.ceil(rows / PART_ROWS)))
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, root) for every node of about ``rows`` edges (a, b), by alternating large and small stars; every round is a written table."""
+    e = save(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows), "edges")
+    before = None
+    while True:
+        # every edge points to the least neighbour of its lower end, then every node to its least lower neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = save(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "small-star")
-        after = shape(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
+        e = save(few(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows), "stars")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now
 
 
-def links(buckets: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Roots (node, root) of the nodes that any verified pair of a bucket connects.
+def links(buckets: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
+    """Roots (node, root) of the nodes that verified pairs connect; ``buckets`` has key, node, degree and sig.
 
-    In each of STARS rounds every bucket takes a leader and compares it with the members of other components; members once
-    joined need no further pair. What is then still apart in a bucket is compared pair by pair, so no link is lost.
+    In each of STARS rounds every bucket takes a leader and compares it with its members of other components; members once
+    joined need no further pair. First the leader is the member that shares most buckets, like the text that copies were made of,
+    then any. What is then still apart in a bucket is compared pair by pair, so no link is lost.
     """
-    roots = None
-    edges: list[DataFrame] = []
-    done: list[DataFrame] = []
+    roots, edges, done, n_edges = None, None, None, 0
     for turn in range(STARS + 1):
         b = buckets if roots is None else buckets.join(roots, "node", "left")
-        b = b.select("key", "node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
-        mixed = b.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("x"), F.col("node"), F.col("root"))).alias("lead")).where("lo <> hi")
+        b = b.select("key", "node", "degree", "sig", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
+        first = F.struct(F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("root"), F.col("sig"))
+        mixed = b.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(first).alias("lead")).where("lo <> hi")
         if turn < STARS:
-            p = b.join(mixed.select("key", F.col("lead.node").alias("other"), F.col("lead.root").alias("oroot")), "key").where("root <> oroot")
+            lead = mixed.select(F.col("key").alias("key2"), F.col("lead.node").alias("other"), F.col("lead.root").alias("oroot"), F.col("lead.sig").alias("osig"))
+            p = b.join(lead, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("oroot")) & likely(F.col("sig"), F.col("osig"), least))
         else:
-            rest = b.join(mixed.select("key"), "key")
-            p = rest.join(rest.select("key", F.col("node").alias("other"), F.col("root").alias("oroot")), "key").where("root < oroot")
+            rest = save(b.join(mixed.select("key"), "key").select("key", "node", "root", "sig"), "apart")
+            other = rest.select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("root").alias("oroot"), F.col("sig").alias("osig"))
+            p = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("root") < F.col("oroot")) & likely(F.col("sig"), F.col("osig"), least))
         p = p.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        for d in done:
-            p = p.join(d, ["a", "b"], "left_anti")
-        p = save(p, f"pairs-{turn}")
+        p = save(p if done is None else p.join(done, ["a", "b"], "left_anti"), f"pairs-{turn}")
         if not p.count():
             break
-        done.append(p)
-        edges.append(save(verified(p, texts, least), f"links-{turn}"))
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
-        roots = components(every)
+        done = p if done is None else done.unionByName(p)
+        e = save(verified(p, texts, least), f"links-{turn}")
+        edges = e if edges is None else edges.unionByName(e)
+        found = e.count()
+        if found:
+            n_edges += found
+            roots = components(edges, n_edges)
     return roots
 
 
@@ -212,12 +225,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     s = save(signed(docs), "signatures")
-    u = s.where(F.size("keys") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    u = s.where(F.size("keys") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     u = save(ranked(u, [F.col("k1"), F.col("k2")], "texts", "node"), "nodes")
     b = u.select("node", F.explode("keys").alias("key"))
-    b = save(b.join(b.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "buckets")
-    active = b.select("node").distinct().join(u.select("node", "k1", "k2"), "node")
-    n = b.agg(F.count_distinct("node")).first()[0]
+    b = save(b.join(b.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-keys")
+    degree = save(b.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    b = save(b.select("key", "node").join(degree, "node").join(u.select("node", "sig"), "node"), "buckets")
+    active = degree.select("node").join(u.select("node", "k1", "k2"), "node")
+    n = degree.count()
     roots = None
     if n:
         t = docs.where("text is not null").select(*text_key(F.col("text")), "text")

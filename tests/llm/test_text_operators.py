@@ -81,7 +81,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_that_stay_apart_after_the_stars(spark):
     docs = [(i, t) for i, t in enumerate(["a b c d e f g h"] * 2)]
-    df = spark.createDataFrame([(1, "k", 1), (2, "k", 2), (3, "k", 3)], "node long, key string, x int").select("node", F.lit(5).cast("long").alias("key"))
+    df = spark.createDataFrame([(5, 1, 9, [1] * 96), (5, 2, 3, [1] * 96), (5, 3, 3, [1] * 96)], "key long, node long, degree long, sig array<smallint>")
     texts = spark.createDataFrame([(1, "p q r s t u"), (2, docs[0][1]), (3, docs[1][1])], "node long, text string")
     assert rows(bagminhash.links(df, texts)) == [(2, 2), (3, 2)]
 
@@ -89,7 +89,7 @@ def test_near_duplicates_that_stay_apart_after_the_stars(spark):
 @pytest.mark.parametrize("n", [1, 3])
 def test_components_of_paths(spark, n):
     edges = [(i, i + 1) for i in range(0, 40) if i % (40 // n)]
-    roots = dict(rows(bagminhash.components(spark.createDataFrame(edges, "a long, b long"))))
+    roots = dict(rows(bagminhash.components(spark.createDataFrame(edges, "a long, b long"), len(edges))))
     want = {}
     for a, b in edges:
         want.setdefault(a, a)
