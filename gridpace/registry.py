@@ -23,10 +23,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of the tables in a folder, as Spark's file system shows them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found or ()))
+
+
 class Context:
     """Lazy access to the driver tables and the tables derived from them, staged once per session."""
 
-    _live: dict[tuple[str, str], "Context"] = {}
+    _live: dict[tuple[str, str], tuple[tuple, "Context"]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, block_laps: int | None = None):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
@@ -35,10 +42,12 @@ class Context:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Context":
+        """The session's context of a folder; a new one once any file in it has changed."""
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-        if key not in cls._live:
-            cls._live[key] = cls(spark, sf_dir)
-        return cls._live[key]
+        state = _files(spark, sf_dir)
+        if key not in cls._live or cls._live[key][0] != state:
+            cls._live[key] = (state, cls(spark, sf_dir))
+        return cls._live[key][1]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

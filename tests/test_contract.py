@@ -26,3 +26,23 @@ def test_no_collect_of_laps_in_operators():
     for p in Path(entry.__file__).parent.joinpath("gridpace").rglob("*.py"):
         text = p.read_text()
         assert "toPandas" not in text and "localCheckpoint" not in text and "crossJoin" not in text, p
+
+
+def test_rewritten_tables_get_a_new_context(spark, tmp_path):
+    from gridpace.registry import Context
+    spark.range(3).write.parquet(str(tmp_path / "events.parquet"))
+    first = Context.of(spark, str(tmp_path))
+    assert Context.of(spark, str(tmp_path)) is first
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    second = Context.of(spark, str(tmp_path))
+    assert second is not first and second.table("events").count() == 5
+
+
+def test_race_ids_keep_every_digit(spark):
+    from gridpace.registry import Context
+    from gridpace.sources.lapview import lap_view
+    c = Context(spark, "unused")
+    line = dict(l_linenumber=1, l_partkey=0, l_suppkey=1, l_shipdate="2024-01-01", l_quantity=1.0, l_extendedprice=10.0)
+    rows = spark.createDataFrame([dict(line, l_orderkey=250 * 5 * (r - 1)) for r in (1, 999, 1000, 10000)])
+    c.table = lambda name: rows
+    assert sorted(r[0] for r in lap_view(c).select("race_id").collect()) == ["2021_001", "2021_1000", "2021_10000", "2021_999"]
