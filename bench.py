@@ -2,7 +2,7 @@
 
 ``stage_*``, ``fit_*`` and ``solve_*`` build the shared tables from the given
 tables once, cold; the other queries are the median of three warm runs that
-read the staged feature table.
+read the staged feature table. BENCH_ALL=1 adds the bootstrap, its votes and the policy table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import time
 from gridpace import plans
 from gridpace.operators import bundle, decisions
 from gridpace.registry import QUERIES, Context
-from gridpace.session import local_session
+from gridpace.session import clear_staged, local_session
 
 plans.load_all()
 
@@ -28,6 +28,8 @@ BUILD = [
     ("fit_pit_and_circuit_tables", bundle.circuit_params),
     ("solve_all_pit_decisions", decisions.solved),
 ]
+# longer builds, timed with BENCH_ALL=1
+LONG = [("fit_30_bootstrap_replicates", bundle.boots), ("vote_on_all_states", decisions.votes), ("solve_policy_table", decisions.policy_table)]
 WARM = ["p_10_representative_laps", "j_01_asof_weather_backward", "j_03_dimension_lookup", "j_06_anti_join_controls", "j_07_position_neighbours", "j_09_rejoin_position",
         "w_05_gap_ahead", "w_06_previous_lap_context", "w_11_pace_drop", "w_12_last_and_mean_of_five", "w_16_near_stops", "w_23_green_pace_interpolated",
         "a_01_group_statistics", "a_07_gap_matched_loss", "a_11_onset_hazards", "a_21_horizon_error_table", "a_23_roc_auc", "a_25_tolerant_precision_recall",
@@ -42,7 +44,7 @@ def main() -> None:
     c = Context(spark, sf_dir)
     c.table("lineitem").count()
     times: dict[str, float] = {}
-    for name, build in BUILD:
+    for name, build in BUILD + (LONG if os.environ.get("BENCH_ALL") else []):
         t = time.time()
         build(c)
         times[name] = round(time.time() - t, 3)
@@ -60,6 +62,7 @@ def main() -> None:
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total seconds over headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    clear_staged(spark)
 
 
 if __name__ == "__main__":
