@@ -26,6 +26,8 @@ BANDS, ROWS = 24, 4  # a pair at the threshold is missed by all bands once in 30
 STARS = 2  # rounds against one leader per bucket before the pairs that are left are listed
 BATCH_BYTES = 2 << 20  # text signed at a time, or one longer document
 PART_ROWS = 100_000  # edges per partition
+PAIRS = 512  # pairs compared at a time
+BLOCK = 256  # members of a bucket compared with as many others in one step
 BROADCAST_ROWS = 200_000  # keys of 24 bytes sent to every task; more are shuffled
 U = np.uint64
 G = U(0x9E3779B97F4A7C15)
@@ -124,40 +126,96 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, keys array<bigint>, sig array<smallint>")
 
 
-def likely(a: Column, b: Column, least: float) -> Column:
-    """Whether two signatures agree in as many registers as a pair of that similarity does but once in a million."""
+def matches(least: float) -> int:
+    """Registers in which signatures agree, but for one pair of that similarity in a million."""
     m = BANDS * ROWS
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= math.floor(m * least - 4.9 * math.sqrt(m * least * (1 - least)))
+    return math.floor(m * least - 4.9 * math.sqrt(m * least * (1 - least)))
+
+
+def likely(a: Column, b: Column, least: float) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= matches(least)
+
 
+class Bags:
+    """The multisets of some texts."""
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = int(np.minimum(a[1][i], b[1][j]).sum())
-    return low / max(1, int(a[1].sum()) + int(b[1].sum()) - low)
+    def __init__(self, text: pa.Array):
+        data, off = pk.text_bytes(text)
+        doc, self.h, self.count = shingles(data, off)
+        self.first = np.searchsorted(doc, np.arange(off.size))
+        self.total = np.bincount(doc, self.count, off.size - 1)
+
+    def pick(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ``rows``, hash, count) of everything that the rows hold."""
+        n = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(np.arange(rows.size), n), self.h[at], self.count[at]
+
+
+def weighted_jaccard(a: Bags, i: np.ndarray, b: Bags, j: np.ndarray) -> np.ndarray:
+    """Similarity of text ``i`` of ``a`` and text ``j`` of ``b``, pair by pair."""
+    out = []
+    for k in range(0, i.size, PAIRS):
+        x, y = i[k: k + PAIRS], j[k: k + PAIRS]
+        (p, h, c), (q, g, d) = a.pick(x), b.pick(y)
+        p, c = np.append(p, q), np.append(c, d)
+        v = pk.mix(np.append(h, g) ^ pk.mix(p.astype(U) + U(1)))
+        order = np.argsort(v)
+        same = v[order][1:] == v[order][:-1]
+        one, two = order[:-1][same], order[1:][same]
+        low = np.bincount(p[one], np.minimum(c[one], c[two]), x.size)
+        out.append(low / np.maximum(a.total[x] + b.total[y] - low, 1))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of nodes whose texts have at least that similarity."""
     j = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
-    def bag(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(text.as_buffer(), np.uint8)
-        _, h, c = shingles(data, np.array([0, data.size]))
-        return h, c
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            a, ta, tb = batch.column("a").to_numpy(), batch.column("ta"), batch.column("tb")
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, held = a[i], bag(ta[i])
-                keep[i] = weighted_jaccard(held, bag(tb[i])) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                at = np.arange(part.num_rows)
+                yield part.select(["a", "b"]).filter(pa.array(weighted_jaccard(Bags(part.column("ta")), at, Bags(part.column("tb")), at) >= least))
     return j.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def compared(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) among all members of different components of each bucket of ``rest`` (key, node, root, block).
+
+    Buckets are compared block by block, so a task holds two blocks at a time and only links leave it. A pair that shares several
+    buckets is compared in the first of them.
+    """
+    m = rest.join(texts, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "keys", "sig", "text")).alias("m"))
+    two = m.join(m.select(F.col("key").alias("key2"), F.col("block").alias("block2"), F.col("m").alias("m2")), (F.col("key") == F.col("key2")) & (F.col("block") <= F.col("block2")))
+    enough = matches(least)
+
+    def members(x: pa.Array):
+        node, root = x.field("node").to_numpy(), x.field("root").to_numpy()
+        keys, sig = x.field("keys").flatten().to_numpy().reshape(len(x), BANDS), x.field("sig").flatten().to_numpy().reshape(len(x), BANDS * ROWS)
+        return node, root, keys, sig, Bags(x.field("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, alone = batch.column("key")[k].as_py(), batch.column("block")[k].as_py() == batch.column("block2")[k].as_py()
+                na, ra, ka, sa, bags_a = members(batch.column("m")[k].values)
+                nb, rb, kb, sb, bags_b = members(batch.column("m2")[k].values)
+                band = int(np.argmax(ka[0] == key))
+                found = []
+                for x in range(na.size):
+                    near = (rb != ra[x]) & ((sb == sa[x]).sum(axis=1) >= enough) & ~(kb[:, :band] == ka[x, :band]).any(axis=1)
+                    if alone:
+                        near[: x + 1] = False
+                    y = np.flatnonzero(near)
+                    y = y[weighted_jaccard(bags_a, np.full(y.size, x), bags_b, y) >= least]
+                    found.append(np.stack([np.full(y.size, na[x]), nb[y]]))
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return two.select("key", "block", "m", "block2", "m2").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """``df`` in no more partitions than its rows are worth."""
     return df.coalesce(max(1, math.ceil(rows / PART_ROWS)))
@@ -186,27 +244,23 @@ def links(buckets: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
 
     In each of STARS rounds every bucket takes a leader and compares it with its members of other components; members once
     joined need no further pair. First the leader is the member that shares most buckets, like the text that copies were made of,
-    then any. What is then still apart in a bucket is compared pair by pair, so no link is lost.
+    then any. What is then still apart in a bucket is compared block by block, so no link is lost.
     """
-    roots, edges, done, n_edges = None, None, None, 0
+    roots, edges, n_edges = None, None, 0
     for turn in range(STARS + 1):
         b = buckets if roots is None else buckets.join(roots, "node", "left")
         b = b.select("key", "node", "degree", "sig", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
-        first = F.struct(F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("root"), F.col("sig"))
-        mixed = b.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(first).alias("lead")).where("lo <> hi")
+        first = F.struct(F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "node", "key"), F.col("node"), F.col("root"), F.col("sig"))
+        mixed = b.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.max(first).alias("lead")).where("lo <> hi")
         if turn < STARS:
             lead = mixed.select(F.col("key").alias("key2"), F.col("lead.node").alias("other"), F.col("lead.root").alias("oroot"), F.col("lead.sig").alias("osig"))
             p = b.join(lead, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("oroot")) & likely(F.col("sig"), F.col("osig"), least))
+            p = p.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            e = verified(p, texts, least)
         else:
-            rest = save(b.join(mixed.select("key"), "key").select("key", "node", "root", "sig"), "apart")
-            other = rest.select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("root").alias("oroot"), F.col("sig").alias("osig"))
-            p = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("root") < F.col("oroot")) & likely(F.col("sig"), F.col("osig"), least))
-        p = p.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        p = save(p if done is None else p.join(done, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if not p.count():
-            break
-        done = p if done is None else done.unionByName(p)
-        e = save(verified(p, texts, least), f"links-{turn}")
+            rest = b.join(mixed.select("key", "n"), "key").select("key", "node", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block"))
+            e = compared(rest, texts, least)
+        e = save(e, f"links-{turn}")
         edges = e if edges is None else edges.unionByName(e)
         found = e.count()
         if found:
@@ -236,7 +290,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     roots = None
     if n:
         t = docs.where("text is not null").select(*text_key(F.col("text")), "text")
-        t = t.join(hinted(active, n, BROADCAST_ROWS), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+        t = t.join(hinted(active, n, BROADCAST_ROWS), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")).join(u.select("node", "keys", "sig"), "node")
         roots = links(b, save(t, "active-texts"), least)
     r = u.select("node", "k1", "k2", "id")
     r = r.withColumn("root", F.col("node")) if roots is None else r.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -82,7 +82,7 @@ def test_near_duplicates(spark):
 def test_near_duplicates_that_stay_apart_after_the_stars(spark):
     docs = [(i, t) for i, t in enumerate(["a b c d e f g h"] * 2)]
     df = spark.createDataFrame([(5, 1, 9, [1] * 96), (5, 2, 3, [1] * 96), (5, 3, 3, [1] * 96)], "key long, node long, degree long, sig array<smallint>")
-    texts = spark.createDataFrame([(1, "p q r s t u"), (2, docs[0][1]), (3, docs[1][1])], "node long, text string")
+    texts = spark.createDataFrame([(1, "p q r s t u", [5] * 24, [1] * 96), (2, docs[0][1], [5] * 24, [1] * 96), (3, docs[1][1], [5] * 24, [1] * 96)], "node long, text string, keys array<long>, sig array<smallint>")
     assert rows(bagminhash.links(df, texts)) == [(2, 2), (3, 2)]
 
 
