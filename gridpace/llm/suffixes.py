@@ -12,7 +12,6 @@ that of a bucket, whatever the corpus.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +146,7 @@ def flag_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SENT = "bucket bigint, chunk bigint, body binary, len binary, off binary, doc binary, start binary, pos binary"
 
 
-def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT) -> DataFrame:
+def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT, in_place: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans and kept_bytes; clashing columns are replaced.
 
     Texts are UTF-8 bytes. A byte goes if any string of ``window`` bytes over it also starts earlier: in a smaller doc_id,
@@ -155,7 +154,7 @@ def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT) -> DataFra
     starts are not earlier. Null, empty and short texts lose nothing; a null text is empty. ``n_spans`` counts
     maximal removed runs. Texts are read whole, a chunk of about CHUNK_BYTES or one longer document at a
     time. An empty table gives no rows. Windows whose anchor occurs ``common`` times or more are compared by 64-bit hashes, so that no bucket
-    gathers them; the result is the same.
+    gathers them; the result is the same. With ``in_place`` what is kept replaces the text, whole characters only, and kept_bytes is empty.
     """
     if not 2 * PERIOD + GRAM <= window <= 255 - window + GRAM:
         raise ValueError("the window must be from 86 to 139 bytes")
@@ -317,8 +316,14 @@ def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT) -> DataFra
         head[inner] = gone[inner]
         n_gone, n_head = np.append(0, np.cumsum(gone))[off], np.append(0, np.cumsum(head))[off]
         kept = np.append(0, np.cumsum(~gone))[off]
-        out = t.select(cols).append_column("n_bytes", pa.array(np.diff(off), pa.int64())).append_column("n_removed", pa.array(np.diff(n_gone), pa.int64()))
-        return out.append_column("n_spans", pa.array(np.diff(n_head), pa.int64())).append_column("kept_bytes", pk.binary(data[~gone], kept))
+        held = pk.binary(data[~gone], kept)
+        out = t.select(cols)
+        if in_place:
+            text = [b.as_py().decode("utf-8", "ignore") if x.is_valid else None for b, x in zip(held, t.column("text"))]
+            held = pa.array([b""] * len(held), pa.binary())
+            out = out.set_column(cols.index("text"), "text", pa.array(text, pa.string()))
+        out = out.append_column("n_bytes", pa.array(np.diff(off), pa.int64())).append_column("n_removed", pa.array(np.diff(n_gone), pa.int64()))
+        return out.append_column("n_spans", pa.array(np.diff(n_head), pa.int64())).append_column("kept_bytes", held)
 
     by_chunk = dealt.groupBy("_chunk")
     counted = by_chunk.applyInArrow(anchors, "bucket bigint, chunk bigint, h binary, n binary").groupBy("bucket").applyInArrow(counts, "bucket bigint, chunk bigint, h binary, hot binary")
@@ -334,16 +339,7 @@ def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text stays null.
     """
-    schema, at = docs.schema, docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            old = b.column("text")
-            new = [x.as_py().decode("utf-8", "ignore") if t.is_valid else None for x, t in zip(b.column("kept_bytes"), old)]
-            cols = [b.column(c) for c in schema.names]
-            cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
-    return removal(docs, window).select(*docs.columns, "kept_bytes").mapInArrow(run, schema)
+    return removal(docs, window, in_place=True).select(*docs.columns)
 
 
 @query("op7_suffix_array_dedup")
