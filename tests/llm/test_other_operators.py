@@ -25,6 +25,25 @@ def test_language(spark):
     assert langid.training_slices(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))) == {}
 
 
+def test_short_languages_neither_shrink_the_others_nor_lose_to_them(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    slices = langid.training_slices(docs.where(~langid.held_out()))
+    sure = docs.where(langid.held_out() & F.col("lang").isNotNull() & (F.length("text") > 100))
+
+    def right(dicts):
+        got = langid.identify(sure, dicts).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x"))
+        return {r["lang"]: r["x"] for r in got.collect()}
+    whole = langid.dictionaries(slices)
+    rare = next(iter(slices))
+    tiny = langid.dictionaries(slices | {"aa": [slices[rare][0][:20]]})
+    assert {k: tiny[k] for k in whole} == dict(whole) and len(tiny["aa"]) <= 80 and "aa" not in tiny.factors
+    assert min(right(tiny).values()) > 0.95
+    for k in slices:
+        few = langid.dictionaries(slices | {k: slices[k][:8]})
+        assert len(few[k]) < min(len(few[o]) for o in few if o != k)
+        assert min(right(few).values()) > 0.9
+
+
 def test_quality(spark):
     got = quality.op2(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id")
     right = got.select(F.avg((F.col("rejected") == (F.col("quality") == 0)).cast("int"))).first()[0]
