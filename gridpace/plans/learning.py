@@ -64,7 +64,7 @@ PRE = ["year", "age", "fuel_kg", "lap_in_stint", "stint", "track_temp", "air_tem
 def prerace_boosting(c):
     tr, te = years(with_form(c), FIT), years(with_form(c), TEST_YEARS)
     a = bt.Assembler(tr, PRE, ["circuit", "team", "driver", "compound"])
-    p = bt.gbt_regressor(tr, a, "lap_time").transform(a.transform(te))
+    p = bt.gbt_regressor(tr, a, "lap_time", rounds=600, n_leaves=63, step=0.06).transform(a.transform(te))
     return m.regression_metrics(p, ["year"], "lap_time", "prediction")
 
 
@@ -78,7 +78,7 @@ def residual_booster(c):
         "comp", F.expr("case compound when 'SOFT' then 0 when 'MEDIUM' then 1 else 2 end")).withColumn("resid", F.col("y") - F.col("structural"))
     tr, dev = years(f, TRAIN_YEARS), years(f, DEV_YEARS)
     a = bt.Assembler(tr, RESIDUAL)
-    p = bt.gbt_regressor(tr, a, "resid", rounds=15).transform(a.transform(dev)).withColumn("boosted", F.col("structural") + F.col("prediction"))
+    p = bt.gbt_regressor(tr, a, "resid", rounds=300, step=0.05).transform(a.transform(dev)).withColumn("boosted", F.col("structural") + F.col("prediction"))
     u = p.unpivot(["y"], ["structural", "boosted"], "model", "p")
     g = m.regression_metrics(u, ["model"], "y", "p").select("model", "n", "mae", "rmse")
     mae = lambda x: F.max(F.when(F.col("model") == x, F.col("mae"))).over(Window.partitionBy(F.lit(0)))  # two rows
@@ -123,7 +123,7 @@ def delta_booster(c):
         tr, _ = study(c)
         tr = tr.filter("delta is not null")
         a = bt.Assembler(tr, NUMERIC, CATEGORICAL)
-        return a, bt.gbt_regressor(tr, a, "delta", rounds=15)
+        return a, bt.gbt_regressor(tr, a, "delta", rounds=500, least=50)
     return c.memo("delta_booster", make)
 
 
@@ -242,7 +242,7 @@ def classifiers(c):
     out = []
     for name, feats in FAMILIES.items():
         a = bt.Assembler(tr, feats)
-        mod = bt.gbt_classifier(tr, a, "y")
+        mod = bt.gbt_classifier(tr, a, "y", rounds=800, step=0.03, least=40)
         best = m.threshold_table(bt.probability(mod, a.transform(dev))).agg(F.max_by("threshold", F.struct("f1", -F.col("i"))).alias("t")).first()["t"]
         s = stage(bt.probability(mod, a.transform(te)).drop("features").withColumn("call", (F.col("p") >= best).cast("int")).withColumn("family", F.lit(name))
                   .select("family", "race_no", "drv", "lap", "stint", "y", "status", "p", "call"), "scored")
