@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,22 @@ from gridpace.session import stage
 FIT_YEARS = TRAIN_YEARS + DEV_YEARS
 
 
+def fitted_on(ctx, years: tuple[int, ...]):
+    """The same laps with the bundle of other fit seasons."""
+    def make():
+        ctx.shape, ctx.laps  # shared from here on
+        other = copy.copy(ctx)
+        other._made, other.fit_years = {}, tuple(years)
+        return other
+    return ctx.memo(f"fitted_on{tuple(years)}", make)
+
+
+def fit_years(ctx) -> tuple[int, ...]:
+    return getattr(ctx, "fit_years", tuple(FIT_YEARS))
+
+
 def fit_laps(ctx) -> DataFrame:
-    return ctx.laps.filter(F.col("year").isin(*FIT_YEARS))
+    return ctx.laps.filter(F.col("year").isin(*fit_years(ctx)))
 
 
 def model(ctx) -> ridge.Model:
@@ -58,7 +74,7 @@ def model_stops(ctx) -> DataFrame:
 
 
 def pit_table(ctx) -> DataFrame:
-    return ctx.memo("pit_table", lambda: stage(pit_loss_table(model_stops(ctx).filter(F.col("year").isin(*FIT_YEARS))), "pit-table"))
+    return ctx.memo("pit_table", lambda: stage(pit_loss_table(model_stops(ctx).filter(F.col("year").isin(*fit_years(ctx)))), "pit-table"))
 
 
 def neutral(ctx) -> DataFrame:

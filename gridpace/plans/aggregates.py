@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridpace.functions.expr import big, rnd, status_bucket
+from gridpace.operators import decisions
 from gridpace.operators import metrics as m
 from gridpace.operators.backtest import forecast_rows, pit_states
 from gridpace.operators.field import field_pace
@@ -368,6 +369,25 @@ def tuning(c):
     return j.select("margin", *[rnd(x).alias(x) for x in cols], rnd(sum(F.col(x) for x in cols) / 3).alias("objective"))
 
 
+@query("a_29_optimiser_tuning")
+def optimiser_tuning(c):
+    """Every setting of the optimiser (wear prior, stop cost under a safety car, margin) scored by its own gains on the development season."""
+    def make():
+        s = decisions.setting_gains(c).withColumn("margin", F.explode(F.array(*[F.lit(x) for x in decisions.MARGINS])))
+        s = s.withColumn("call", (F.col("gain") > F.col("margin")).cast("int"))
+        k = ["setting", "margin"]
+        t = m.tolerant(s, k, 2).select(*k, F.col("f1").alias("f1_2"))
+        w = m.first_call_summary(m.first_call_errors(s, k), k).select(*k, "within_2_laps", "never_called", "median_signed_laps")
+        n = m.neutral_metrics(s, k).select(*k, "balanced_accuracy")
+        f = m.classification(s, k).select(*k, "f1")
+        names = c.spark.createDataFrame([(i, d, sc) for i, (d, sc) in enumerate(decisions.SETTINGS)], "setting int, deg_sd double, sc double")
+        j = f.join(t, k, "left").join(w, k, "left").join(n, k, "left").join(F.broadcast(names), "setting")  # 16 rows
+        score = (F.col("f1_2") + F.col("within_2_laps") + F.col("balanced_accuracy")) / 3
+        return stage(j.select("deg_sd", "sc", "margin", score.alias("objective"), "f1_2", "within_2_laps", "balanced_accuracy", "never_called", "f1",
+                              "median_signed_laps"), "optimiser-tuning")
+    return c.memo("optimiser_tuning", make)
+
+
 @query("a_32_eda_summaries", laps_sql(f"""
 select 'compound' as dim, compound as value, count(*) as n, {R('quantile_cont(lap_time, 0.5)', 5)} as median_lap from laps group by compound
 union all select 'circuit', circuit, count(*), {R('quantile_cont(lap_time, 0.5)', 5)} from laps group by circuit
