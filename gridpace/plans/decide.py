@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from gridpace.constants import CLIFF, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS, TRAIN_YEARS
@@ -10,6 +12,7 @@ from gridpace.operators import backtest, bundle, decisions
 from gridpace.operators import metrics as m
 from gridpace.operators.asof_fit import asof_linear_fits, linear_prediction
 from gridpace.operators.limits import circuit_constants, stint_limits
+from gridpace.operators.ridge import GLOBAL
 from gridpace.operators.scan import framed
 from gridpace.plans.aggregates import FORECAST_SQL, LIMIT_SQL, PIT_TABLE_SQL, naive_stops
 from gridpace.plans.sqltext import feat_sql
@@ -260,15 +263,24 @@ def bands(c):
 
 @query("d_14_model_export")
 def model_export(c):
-    """One nested document per circuit: constants, pit losses, chain and wear terms."""
-    p = bundle.circuit_params(c)
+    """One nested document per circuit: constants, pit losses, chain and wear terms, also of every bootstrap replicate; and one of what circuits share."""
+    mod, b = bundle.model(c), bundle.boots(c)
+    shared = lambda g: {f"{block}:{key}": float(v) for (block, key, _), v in zip(GLOBAL, g)}
+    whole = {"compounds": list(DRY), "knots": list(KNOTS), "fuel": round(mod.coef("fuel", "fuel"), 5), "sigma": round(float(mod.sigma[0]), 3), "cliff": CLIFF,
+             "sc_ratio_eff": SC_RATIO_EFF, "terms": shared(mod.shared[0][0]), "boots": [{"replicate": r, "terms": shared(g)} for r, (g, _) in sorted(b.shared.items())]}
+    key = F.concat_ws(":", "block", "key")
+    boots = b.shared_table().filter("circuit is not null").groupBy("circuit", "replicate").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.round("value", 5).alias("v"))))).alias("terms"))  # a circuit's few terms
+    boots = boots.groupBy("circuit").agg(F.array_sort(F.collect_list(F.struct("replicate", "terms")), lambda x, y: x["replicate"] - y["replicate"]).alias("boots"))
+    p = bundle.circuit_params(c).join(boots, "circuit", "left")
     names = ("off_soft", "off_hard", "wear_soft", "wear_medium", "wear_hard")
     terms = F.struct(*[F.round(F.col("circ_coef")[i], 5).alias(n) for i, n in enumerate(names)])
     return p.select("circuit", F.to_json(F.struct(
         F.round("l_scale", 4).alias("l"), F.col("race_laps").alias("laps"), F.round("track_temp", 1).alias("temp"), F.round("base", 3).alias("base"),
         F.round("green", 2).alias("pit_green"), F.round("vsc_ratio", 3).alias("pit_vsc_ratio"), F.round("sc_ratio", 3).alias("pit_sc_ratio_measured"),
         F.lit(SC_RATIO_EFF).alias("sc_ratio_eff"), F.col("n_green").alias("n_stops"), F.transform("chain", lambda x: F.round(x, 5)).alias("chain"),
-        F.round("p_sc", 4).alias("p_sc"), F.round("p_vsc", 4).alias("p_vsc"), terms.alias("terms"), F.col("max_age"))).alias("doc"))
+        F.round("p_sc", 4).alias("p_sc"), F.round("p_vsc", 4).alias("p_vsc"), terms.alias("terms"), F.col("max_age"), F.col("boots"))).alias("doc")).unionByName(
+        c.spark.createDataFrame([("_global", json.dumps(whole))], "circuit string, doc string"))
 
 
 @query("d_14_replay_export", feat_sql(f"""
