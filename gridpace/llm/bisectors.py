@@ -81,13 +81,11 @@ def first_centroids(ints: DataFrame, k: int, seed: int) -> np.ndarray:
     """The ``k`` vectors with the smallest hash of seed and id, null ids last, rows of one id by their components."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = ints.orderBy(h.asc_nulls_last(), "x").limit(k).select("x").collect()  # k rows
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64)
 
 
 def new_centroids(ints: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """One round: componentwise floor of the mean of each centroid's vectors; a centroid without vectors stays."""
-    dim = centroids.shape[1]
-
     def fold(batches):
         t, sums, count = Tournament(centroids), np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64)
         for b in batches:
@@ -105,7 +103,7 @@ def new_centroids(ints: DataFrame, centroids: np.ndarray) -> np.ndarray:
     out = centroids.copy()
     for r in total.collect():  # at most k * dim rows
         out[r["cluster"], r["d"]] = int(r["s"]) // r["n"]
-    return out.reshape(-1, dim)
+    return out
 
 
 def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, dim: int = DIM, scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:
