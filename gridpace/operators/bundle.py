@@ -18,14 +18,21 @@ from gridpace.session import stage
 FIT_YEARS = TRAIN_YEARS + DEV_YEARS
 
 
-def fitted_on(ctx, years: tuple[int, ...]):
-    """The same laps with the bundle of other fit seasons."""
+def fitted_on(ctx, years: tuple[int, ...], seen: tuple[int, ...] | None = None):
+    """The same laps, or those of the seasons ``seen`` only, with the bundle of other fit seasons."""
     def make():
         ctx.shape, ctx.laps  # shared from here on
         other = copy.copy(ctx)
         other._made, other.fit_years = {}, tuple(years)
+        if seen is not None:
+            other.laps = ctx.laps.filter(F.col("year").isin(*seen))
         return other
-    return ctx.memo(f"fitted_on{tuple(years)}", make)
+    return ctx.memo(f"fitted_on{tuple(years)}{seen}", make)
+
+
+def before_development(ctx):
+    """Training and development seasons with a bundle of the training seasons: what the development scores may know."""
+    return fitted_on(ctx, TRAIN_YEARS, FIT_YEARS)
 
 
 def fit_years(ctx) -> tuple[int, ...]:

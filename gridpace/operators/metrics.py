@@ -42,26 +42,26 @@ def classification(df: DataFrame, keys: list[str], y: str = "y", call: str = "ca
                     _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def score_steps(df: DataFrame, score: str = "p", y: str = "y", bins: int = 4096) -> DataFrame:
-    """Distinct scores with their positives and negatives and the totals at strictly higher scores.
+def score_steps(df: DataFrame, score: str = "p", y: str = "y", bins: int = 4096, keys: list[str] = ()) -> DataFrame:
+    """Distinct scores per key with their positives and negatives and the totals at strictly higher scores.
 
     Scores (in [0, 1]) are cut into bins; bin totals are summed over the few
     bins, and the ordering inside a bin is a window of its own.
     """
-    s = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    s = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
     s = s.withColumn("neg", F.col("n") - F.col("pos")).withColumn("bin", F.floor(F.col("s") * bins))
-    per = s.groupBy("bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wb = Window.partitionBy(F.lit(0)).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
-    per = per.select("bin", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("hp"), F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("hn"))
-    w = Window.partitionBy("bin").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = s.groupBy(*keys, "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    wb = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
+    per = per.select(*keys, "bin", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("hp"), F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("hn"))
+    w = Window.partitionBy(*keys, "bin").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return (s.withColumn("ip", F.coalesce(F.sum("pos").over(w), F.lit(0))).withColumn("in_", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-            .join(F.broadcast(per), "bin")
-            .select("s", "pos", "neg", (F.col("hp") + F.col("ip")).alias("pos_above"), (F.col("hn") + F.col("in_")).alias("neg_above")))
+            .join(F.broadcast(per), [*keys, "bin"])
+            .select(*keys, "s", "pos", "neg", (F.col("hp") + F.col("ip")).alias("pos_above"), (F.col("hn") + F.col("in_")).alias("neg_above")))
 
 
-def ranking_metrics(steps: DataFrame) -> DataFrame:
+def ranking_metrics(steps: DataFrame, keys: list[str] = ()) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (step sum over distinct scores)."""
-    return steps.agg(
+    return steps.groupBy(*keys).agg(
         (F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"),
         (F.sum(F.col("pos") * (F.col("pos_above") + F.col("pos")) / (F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")))
          / F.sum("pos")).alias("average_precision"))
@@ -118,16 +118,16 @@ def neutral_metrics(df: DataFrame, keys: list[str], call: str = "call") -> DataF
                     _ratio(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")).alias("f1_neutral"))
 
 
-def threshold_table(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """F1 at each of the 95 thresholds 0.05, 0.06, ..., from one histogram pass and suffix sums over 95 rows."""
+def threshold_table(df: DataFrame, score: str = "p", y: str = "y", keys: list[str] = ()) -> DataFrame:
+    """F1 per key at each of the 95 thresholds 0.05, 0.06, ..., from one histogram pass and suffix sums over 95 rows."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(94)), lambda i: F.lit(0.05) + i * F.lit(0.01))
-    s = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    s = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
     h = (s.withColumn("i", F.size(F.filter(grid, lambda t: t <= F.col("s"))) - 1)  # -1: below every threshold
-         .groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")))
-    all_i = df.sparkSession.range(-1, 95).select(F.col("id").cast("int").alias("i"))
-    h = all_i.join(F.broadcast(h), "i", "left").na.fill(0)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    full = Window.partitionBy(F.lit(0))
-    t = h.select("i", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("called"), F.sum("pos").over(full).alias("all_pos"))
-    return t.filter("i >= 0").select("i", (F.lit(0.05) + F.col("i") * F.lit(0.01)).alias("threshold"), "tp", "called",
+         .groupBy(*keys, "i").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")))
+    every = h.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    h = every.select(*keys, F.explode(F.sequence(F.lit(-1), F.lit(94))).alias("i")).join(F.broadcast(h), [*keys, "i"], "left").na.fill(0, ["pos", "n"])
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    full = Window.partitionBy(*(keys or [F.lit(0)]))
+    t = h.select(*keys, "i", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("called"), F.sum("pos").over(full).alias("all_pos"))
+    return t.filter("i >= 0").select(*keys, "i", (F.lit(0.05) + F.col("i") * F.lit(0.01)).alias("threshold"), "tp", "called",
                                      _ratio(2 * F.col("tp"), F.col("called") + F.col("all_pos")).alias("f1"))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from gridpace.constants import CLIFF, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS, TRAIN_YEARS
+from gridpace.constants import CLIFF, DEV_YEARS, DRY, KNOTS, SC_RATIO_EFF, TEST_YEARS, TRAIN_YEARS
 from gridpace.functions.expr import hinge, rnd, status_letter
 from gridpace.operators import backtest, bundle, decisions
 from gridpace.operators import metrics as m
@@ -209,13 +209,20 @@ def inrace_forecasts(c):
     return c.memo("inrace", make)
 
 
+def split_forecasts(c):
+    """(split, forecasts): the development season by the bundle of the training seasons, the test season by that of all before it."""
+    dev, test = F.col("year").isin(*DEV_YEARS), F.col("year").isin(*TEST_YEARS)
+    return [("dev", inrace_forecasts(bundle.before_development(c)).filter(dev)), ("test", inrace_forecasts(c).filter(test))]
+
+
 @query("d_12_forecast_backtest")
 def forecast_models(c):
-    """Error by horizon bin for the four forecasters."""
-    u = inrace_forecasts(c).unpivot(["h", "y", "year"], ["last_lap", "mean_last5", "inrace_linear", "structural"], "model", "p")
+    """Error by split and horizon bin for the four forecasters; no split is scored by a bundle that has seen it."""
+    d, t = (f.withColumn("split", F.lit(s)) for s, f in split_forecasts(c))
+    u = d.unionByName(t).unpivot(["split", "h", "y"], ["last_lap", "mean_last5", "inrace_linear", "structural"], "model", "p")
     b = F.expr("case when h <= 5 then '1-5' when h <= 10 then '6-10' when h <= 20 then '11-20' when h <= 99 then '21-99' end")
     u = u.withColumn("bin", F.explode(F.array(F.lit("all"), b)))
-    return m.regression_metrics(u.where("bin is not null"), ["model", "bin"], "y", "p").select("model", "bin", "n", "mae", "rmse")
+    return m.regression_metrics(u.where("bin is not null"), ["split", "model", "bin"], "y", "p").select("split", "model", "bin", "n", "mae", "rmse")
 
 
 @query("m_11_inrace_linear_baseline")

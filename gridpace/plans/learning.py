@@ -5,8 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from gridpace.constants import DEV_YEARS, TEST_YEARS, TRAIN_YEARS
 from gridpace.functions.expr import recency_weight
 from gridpace.operators import boosting as bt
 from gridpace.operators import bundle, decisions
+from gridpace.operators import histboost as hb
 from gridpace.operators import linear as ln
 from gridpace.operators import metrics as m
 from gridpace.operators.enriched import CATEGORICAL, NUMERIC, enriched
@@ -57,32 +56,50 @@ def v1_ridge(c):
     return m.regression_metrics(te.withColumn("p", ln.predict(d, b)), ["year"], "lap_time", "p")
 
 
-PRE = ["year", "age", "fuel_kg", "lap_in_stint", "stint", "track_temp", "air_temp", "gap_ahead", "position", "team_form", "driver_form", "prev_ref"]
+# Numeric and categorical columns, and size of the study's pre-race booster.
+PRE = ("year", "age", "fuel_kg", "lap_in_stint", "stint", "track_temp", "air_temp", "gap_ahead", "position", "team_form", "driver_form", "prev_ref")
+PRE_CATEGORIES = ("circuit", "team", "driver", "compound")
+PRE_SIZE = hb.Settings(rounds=600, step=0.06, leaves=63, least=20)
+SPLITS = (("dev", TRAIN_YEARS, DEV_YEARS), ("test", FIT, TEST_YEARS))
 
 
 @query("m_10_prerace_boosting")
 def prerace_boosting(c):
-    tr, te = years(with_form(c), FIT), years(with_form(c), TEST_YEARS)
-    a = bt.Assembler(tr, PRE, ["circuit", "team", "driver", "compound"])
-    p = bt.gbt_regressor(tr, a, "lap_time", rounds=600, n_leaves=63, step=0.06).transform(a.transform(te))
-    return m.regression_metrics(p, ["year"], "lap_time", "prediction")
+    """Boosting on conditions and pre-race form: fitted before the development season and before the test season, scored on each."""
+    rep = with_form(c)
+
+    def make():
+        return hb.fit({s: hb.Job(years(rep, fit), hb.Features.of(years(rep, fit), PRE, PRE_CATEGORIES), "lap_time", PRE_SIZE) for s, fit, _ in SPLITS})
+    models = c.memo("prerace_boosters", make)
+    p = scored([models[s].predict(years(rep, on)).select(F.lit(s).alias("split"), "lap_time", "prediction") for s, _, on in SPLITS if s in models])
+    return m.regression_metrics(p, ["split"], "lap_time", "prediction")
 
 
-RESIDUAL = ["h", "age", "comp", "lap_in_stint", "gap_ahead", "position", "fuel_kg", "dtemp", "pitted_since", "n_obs", "k_frac", "l_scale"]
+# Columns and size of the study's booster of forecast errors, and the least gain on the development season that keeps it.
+RESIDUAL = ("h", "age", "comp", "lap_in_stint", "gap_ahead", "position", "fuel_kg", "dtemp", "pitted_since", "n_obs", "k_frac", "l_scale")
+RESIDUAL_SIZE = hb.Settings(rounds=300, step=0.05, leaves=31, least=20)
+KEEP_BELOW = 0.99
 
 
 @query("m_12_residual_booster")
 def residual_booster(c):
-    """Boost the structural forecast's residual; keep it only if it is at least one per cent better on the development season."""
-    f = inrace_forecasts(c).filter("structural is not null").withColumn(
-        "comp", F.expr("case compound when 'SOFT' then 0 when 'MEDIUM' then 1 else 2 end")).withColumn("resid", F.col("y") - F.col("structural"))
-    tr, dev = years(f, TRAIN_YEARS), years(f, DEV_YEARS)
-    a = bt.Assembler(tr, RESIDUAL)
-    p = bt.gbt_regressor(tr, a, "resid", rounds=300, step=0.05).transform(a.transform(dev)).withColumn("boosted", F.col("structural") + F.col("prediction"))
-    u = p.unpivot(["y"], ["structural", "boosted"], "model", "p")
-    g = m.regression_metrics(u, ["model"], "y", "p").select("model", "n", "mae", "rmse")
-    mae = lambda x: F.max(F.when(F.col("model") == x, F.col("mae"))).over(Window.partitionBy(F.lit(0)))  # two rows
-    return g.withColumn("keep_booster", mae("boosted") < 0.99 * mae("structural"))
+    """Boost the structural forecast's residual. The rule keeps it if it is at least one per cent better on the development season.
+
+    Bundle and booster of the development score know the training seasons only; those of the test score know the development season too.
+    """
+    def rows(ctx):
+        return inrace_forecasts(ctx).filter("structural is not null").withColumn(
+            "comp", F.expr("case compound when 'SOFT' then 0 when 'MEDIUM' then 1 else 2 end")).withColumn("resid", F.col("y") - F.col("structural"))
+    known = {"dev": rows(bundle.before_development(c)), "test": rows(c)}
+
+    def make():
+        return hb.fit({s: hb.Job(years(known[s], fit), hb.Features(RESIDUAL), "resid", RESIDUAL_SIZE) for s, fit, _ in SPLITS})
+    models = c.memo("residual_boosters", make)
+    p = scored([models[s].predict(years(known[s], on)).select(F.lit(s).alias("split"), "y", "structural", (F.col("structural") + F.col("prediction")).alias("boosted"))
+                for s, _, on in SPLITS if s in models])
+    g = m.regression_metrics(p.unpivot(["split", "y"], ["structural", "boosted"], "model", "p"), ["split", "model"], "y", "p").select("split", "model", "n", "mae", "rmse")
+    mae = lambda x: F.max(F.when((F.col("split") == "dev") & (F.col("model") == x), F.col("mae"))).over(Window.partitionBy(F.lit(0)))  # four rows
+    return g.withColumn("keep_booster", mae("boosted") < KEEP_BELOW * mae("structural"))
 
 
 def study(c):
@@ -117,68 +134,116 @@ def random_forest(c):
     return g.unionByName(c.spark.createDataFrame([(f"importance_{n}", v) for n, v in bt.importances(mod, a.names)], "item string, value double"))
 
 
-def delta_booster(c):
-    """The study's boosted model of the pace delta, shared by the read-outs below."""
+# Size of the study's boosted models of the pace delta, of all compounds together and of one compound, and of a
+# compound without development laps; least training laps of a compound.
+DELTA_SIZE = dict(rounds=500, least=50)
+COMPOUND_SIZE = dict(rounds=100, least=200, depth=3, l2=5.0)
+UNCHECKED_SIZE = dict(rounds=100, least=30, depth=3, l2=5.0)
+LEAST_LAPS = 100
+ONE_COMPOUND = ("bucket", "circuit", "clean_air")
+
+
+def complete(df):
+    """Laps with a pace delta and all numeric study columns."""
+    return df.filter("delta is not null").dropna(subset=NUMERIC)
+
+
+def delta_boosters(c):
+    """The study's boosted models of the pace delta, shared by the read-outs below: free, and never falling with tyre age."""
     def make():
-        tr, _ = study(c)
-        tr = tr.filter("delta is not null")
-        a = bt.Assembler(tr, NUMERIC, CATEGORICAL)
-        return a, bt.gbt_regressor(tr, a, "delta", rounds=500, least=50)
-    return c.memo("delta_booster", make)
+        tr = complete(study(c)[0])
+        f = hb.Features.of(tr, NUMERIC, singles=CATEGORICAL)
+        return hb.fit({"free": hb.Job(tr, f, "delta", hb.Settings(**DELTA_SIZE)), "rising": hb.Job(tr, f, "delta", hb.Settings(**DELTA_SIZE, rising=("tyre_life",)))})
+    return c.memo("delta_boosters", make)
 
 
-def age_sweep(c, rows):
+def age_sweep(model, rows, out="median_delta"):
     """Predicted delta of every row at each swept tyre age, medians per compound."""
-    a, mod = delta_booster(c)
     s = rows.withColumn("tyre_life", F.explode(F.array(*[F.lit(x).cast("bigint") for x in SWEEP])))
-    p = mod.transform(a.transform(s)).select("compound", F.col("tyre_life").alias("age"), "prediction")
-    return group_quantile(p, ["compound", "age"], F.col("prediction"), 0.5, "median_delta")
+    p = model.predict(s.select("compound", "tyre_life", *[x for x in model.features.names if x not in ("compound", "tyre_life")]))
+    p = p.select("compound", F.col("tyre_life").alias("age"), "prediction")
+    return group_quantile(p, ["compound", "age"], F.col("prediction"), 0.5, out)
 
 
 @query("m_15_monotone_age_curve")
 def monotone(c):
-    """Boosting without a monotone constraint, then isotonic regression of the swept age curve."""
-    _, dev = study(c)
-    curve = stage(age_sweep(c, dev.filter("delta is not null")), "age-curve")
-    out = []
-    for r in curve.select("compound").distinct().collect():  # the tyre compounds
-        one = curve.filter(F.col("compound") == r["compound"]).select("compound", F.col("age").cast("double").alias("age"), "median_delta")
-        iso = IsotonicRegression(featuresCol="age", labelCol="median_delta", isotonic=True).fit(one)
-        out.append(iso.transform(one).withColumnRenamed("prediction", "monotone_delta"))
-    return scored(out)
+    """Age curves of the booster that may not fall with tyre age, beside those of the free one."""
+    dev, models = complete(study(c)[1]), delta_boosters(c)
+    return age_sweep(models["free"], dev).join(age_sweep(models["rising"], dev, "monotone_delta"), ["compound", "age"])
+
+
+@query("m_15_monotone_scores")
+def monotone_scores(c):
+    """Ridge, free and monotone boosting on the development laps, and how far any single lap's prediction falls from one swept age to the next."""
+    tr, dev = (complete(x) for x in study(c))
+    models = delta_boosters(c)
+    d = ln.design(tr, NUMERIC, CATEGORICAL)
+    p = dev.withColumn("ridge", ln.predict(d, ln.solve(ln.grams(tr, d, "delta")[()], 1.0)))
+    for name, mod in models.items():
+        p = mod.predict(p, name)
+    g = m.regression_metrics(p.unpivot(["delta"], ["ridge", *models], "model", "p"), ["model"], "delta", "p").select("model", "n", "r2", "mae")
+    drops = []
+    for name, mod in models.items():
+        s = dev.select("race_no", "drv", "lap", *[x for x in mod.features.names if x not in ("lap", "tyre_life")], F.explode(F.array(*[F.lit(x).cast("bigint") for x in SWEEP])).alias("tyre_life"))
+        one = mod.predict(s).groupBy("race_no", "drv", "lap").agg(F.sort_array(F.collect_list(F.struct("tyre_life", "prediction")))["prediction"].alias("v"))  # seven ages
+        fall = F.array_max(F.transform(F.sequence(F.lit(1), F.size("v") - 1), lambda i: F.get("v", i - 1) - F.get("v", i)))
+        drops.append(one.agg(F.lit(name).alias("model"), F.greatest(F.max(fall), F.lit(0.0)).alias("deepest_fall")))
+    return g.join(scored(drops), "model", "left")
+
+
+def compound_models(c):
+    """Per compound: training and development laps, and the boosted model where there are LEAST_LAPS training laps; all fitted in one job."""
+    def make():
+        tr, dev = (stage(x.filter("delta is not null"), "compound-laps") for x in study(c))
+        n = {s: {r["compound"]: r["n"] for r in x.groupBy("compound").agg(F.count(F.lit(1)).alias("n")).collect()} for s, x in (("train", tr), ("dev", dev))}  # the tyre compounds
+        jobs = {}
+        for comp, k in n["train"].items():
+            if comp is not None and k >= LEAST_LAPS:
+                mine = tr.filter(F.col("compound") == comp).dropna(subset=NUMERIC)
+                size = hb.Settings(**COMPOUND_SIZE, rising=("tyre_life",)) if comp in n["dev"] else hb.Settings(**UNCHECKED_SIZE)
+                jobs[comp] = hb.Job(mine, hb.Features.of(mine, NUMERIC, singles=ONE_COMPOUND), "delta", size)
+        return tr, dev, n, hb.fit(jobs) if jobs else {}
+    return c.memo("compound_models", make)
 
 
 @query("m_16_per_compound_models")
 def per_compound(c):
-    """One ridge per compound with enough training laps; compounds without development laps report training error."""
-    tr, dev = (x.filter("delta is not null") for x in study(c))
-    d = ln.design(tr, NUMERIC, ["bucket", "circuit", "clean_air"])
-    gt, gd = ln.grams(tr, d, "delta", ["compound"]), ln.grams(dev, d, "delta", ["compound"])
-    rows = []
-    for (comp,), G in sorted(gt.items()):
-        n = int(G[0, 0])
-        if n < 100:
-            rows.append((comp, n, 0, None, None, "too few training laps"))
-            continue
-        b = ln.solve(G, 1.0)
-        E = gd.get((comp,), G)
-        var = E[-1, -1] - E[0, -1] ** 2 / E[0, 0]
-        rows.append((comp, n, int(gd[(comp,)][0, 0]) if (comp,) in gd else 0, float(1 - ln.sse(E, b) / var), float(b[1]), "" if (comp,) in gd else "no dev support"))
-    return c.spark.createDataFrame(rows, "compound string, train_n long, dev_n long, r2 double, tyre_coef double, note string")
+    """Per compound: the boosted model's score on development laps and the ridge's wear rate. Without development laps the score is of the training laps."""
+    tr, dev, n, models = compound_models(c)
+    d = ln.design(tr, NUMERIC, ONE_COMPOUND)
+    grams = ln.grams(tr, d, "delta", ["compound"])
+    rows, frames = [], []
+    for comp, k in sorted((x for x in n["train"].items() if x[0] is not None)):
+        checked = comp in n["dev"]
+        note = "too few training laps" if k < LEAST_LAPS else "" if checked else "no development laps: training score"
+        coef = float(ln.solve(grams[(comp,)], 1.0)[1]) if comp in models and checked and (comp,) in grams else None
+        rows.append((comp, k, n["dev"].get(comp, 0), coef, note))
+        if comp in models:
+            frames.append(models[comp].predict((dev if checked else tr).filter(F.col("compound") == comp).dropna(subset=NUMERIC)).select("compound", "delta", "prediction"))
+    out = c.spark.createDataFrame(rows, "compound string, train_n long, dev_n long, tyre_coef double, note string")
+    if not frames:
+        return out.select("*", *[F.lit(None).cast("double").alias(x) for x in ("r2", "mae")])
+    return out.join(m.regression_metrics(scored(frames), ["compound"], "delta", "prediction").select("compound", "r2", "mae"), "compound", "left")
+
+
+@query("m_16_per_compound_age_curves")
+def compound_curves(c):
+    """Median predicted delta of each compound's own model at the seven swept ages, on its development laps, else on its training laps."""
+    tr, dev, n, models = compound_models(c)
+    curves = [age_sweep(mod, (dev if comp in n["dev"] else tr).filter(F.col("compound") == comp).dropna(subset=NUMERIC)) for comp, mod in sorted(models.items())]
+    return scored(curves) if curves else c.spark.createDataFrame([], "compound string, age bigint, median_delta double")
 
 
 @query("m_17_partial_dependence_sweep")
 def sweep(c):
-    _, dev = study(c)
-    return age_sweep(c, dev.filter("delta is not null"))
+    return age_sweep(delta_boosters(c)["free"], complete(study(c)[1]))
 
 
 @query("m_18_permutation_importance")
 def permutation(c, repeats: int = 10, bucket_rows: int = 8192):
     """Score drop when one column is shuffled. Rows are shuffled inside hash buckets of bounded size, by joining two orders."""
-    a, mod = delta_booster(c)
-    _, dev = study(c)
-    base = a.transform(dev.filter("delta is not null")).select("race_no", "drv", "lap", "delta", a.array().alias("x"))
+    mod = delta_boosters(c)["free"]
+    base = complete(study(c)[1]).select("race_no", "drv", "lap", "delta", mod.features.array().alias("x"))
     base = stage(base, "perm-base")
     n_buckets = max(1, base.count() // bucket_rows)
     key = ("race_no", "drv", "lap")
@@ -189,11 +254,11 @@ def permutation(c, repeats: int = 10, bucket_rows: int = 8192):
     left = r.withColumn("rn", F.row_number().over(w.orderBy(h("left", F.col("repeat")), *key)))
     right = r.withColumn("rn", F.row_number().over(w.orderBy(h("right", F.col("repeat")), *key))).select("repeat", "b", "rn", F.col("x").alias("z"))
     j = left.join(right, ["repeat", "b", "rn"])
-    names = F.array(*[F.lit(n) for n in a.names])
-    mix = j.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(a.names) - 1)))).withColumn(
-        "features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("f"), F.get("z", i)).otherwise(v))))
-    got = m.regression_metrics(mod.transform(mix), ["repeat", "f"], "delta", "prediction")
-    whole = m.regression_metrics(mod.transform(base.withColumn("features", array_to_vector("x"))), [], "delta", "prediction").first()["r2"]
+    names = F.array(*[F.lit(n) for n in mod.features.names])
+    mix = j.select("repeat", "delta", "x", "z", F.explode(F.sequence(F.lit(0), F.lit(len(mod.features.names) - 1))).alias("f")).select(
+        "repeat", "f", "delta", F.transform("x", lambda v, i: F.when(i == F.col("f"), F.get("z", i)).otherwise(v)).alias("x"))
+    got = m.regression_metrics(mod.predict(mix, features=F.col("x")), ["repeat", "f"], "delta", "prediction")
+    whole = m.regression_metrics(mod.predict(base, features=F.col("x")), [], "delta", "prediction").first()["r2"]
     return got.groupBy(F.get(names, F.col("f")).alias("feature")).agg(F.avg(F.lit(whole) - F.col("r2")).alias("importance"), F.count(F.lit(1)).alias("repeats"))
 
 
@@ -227,32 +292,43 @@ def alpha_sweep(c, folds: int = 5):
     return c.spark.createDataFrame([(a, e, a == best) for a, e in rows], "alpha double, cv_mse double, best boolean")
 
 
+# Columns of the study's four families of pit-call models, and the size of each.
 BASIC = ["age", "comp", "lap_frac", "laps_left", "stops_before", "two_compounds", "status", "position_prev", "gap_ahead_prev", "pit_loss", "race_laps", "track_temp"]
 CONTEXT = BASIC + ["age_ratio", "cars_stopped_prev", "ahead_stopped_prev", "behind_stopped_prev", "ahead_age_diff", "behind_age_diff", "mate_stopped_prev",
                    "rejoin_positions_lost", "rejoin_gap", "field_stopped_frac", "pace_drop", "gap_behind_prev", "field_age_diff", "stops_lag1", "stops_lag2",
                    "stops_recent3", "near_stops2", "same_comp_frac_stopped"]
 FAMILIES = {"basic": BASIC, "context": CONTEXT, "hybrid": CONTEXT + ["dp_gain", "dp_gain_pre", "dp_pit", "laps_to_plan", "plan_stops"], "leaky": BASIC + ["lap_delta_leaky"]}
+CALL_SIZE = hb.Settings(rounds=800, step=0.03, leaves=31, least=40, l2=1.0, loss="logistic")
+
+
+def scored_calls(c):
+    """Every state of the development and the test season with each family's probability, and the call at the threshold that the development season froze.
+
+    The development models and their optimiser columns know the training seasons only; the test models are fitted again with the development season.
+    """
+    def make():
+        known = {"dev": decisions.decisions(bundle.before_development(c)), "test": decisions.decisions(c)}
+        jobs = {f"{s} {name}": hb.Job(years(known[s], fit), hb.Features(tuple(feats)), "y", CALL_SIZE) for s, fit, _ in SPLITS for name, feats in FAMILIES.items()}
+        models = hb.fit(jobs)
+        p = scored([models[f"{s} {name}"].predict(years(known[s], on), "p").select(F.lit(s).alias("split"), F.lit(name).alias("family"), "race_no", "drv", "lap", "stint", "y", "status", "p")
+                    for s, _, on in SPLITS for name in FAMILIES if f"{s} {name}" in models])
+        p = stage(p, "call-scores")
+        best = m.threshold_table(p.filter("split = 'dev'"), keys=["family"]).groupBy("family").agg(F.max_by("threshold", F.struct("f1", -F.col("i"))).alias("threshold"))
+        return stage(p.join(F.broadcast(best), "family").withColumn("call", (F.col("p") >= F.col("threshold")).cast("int")), "calls")  # four rows
+    return c.memo("scored_calls", make)
 
 
 @query("m_21_pit_call_classifiers")
 def classifiers(c):
-    """Four feature families: fitted on the training seasons, threshold frozen on the development season, scored on the test season."""
-    d = decisions.decisions(c)
-    tr, dev, te = years(d, TRAIN_YEARS), years(d, DEV_YEARS), years(d, TEST_YEARS)
-    out = []
-    for name, feats in FAMILIES.items():
-        a = bt.Assembler(tr, feats)
-        mod = bt.gbt_classifier(tr, a, "y", rounds=800, step=0.03, least=40)
-        best = m.threshold_table(bt.probability(mod, a.transform(dev))).agg(F.max_by("threshold", F.struct("f1", -F.col("i"))).alias("t")).first()["t"]
-        s = stage(bt.probability(mod, a.transform(te)).drop("features").withColumn("call", (F.col("p") >= best).cast("int")).withColumn("family", F.lit(name))
-                  .select("family", "race_no", "drv", "lap", "stint", "y", "status", "p", "call"), "scored")
-        cls = m.classification(s, ["family"]).select("family", "precision", "recall", "f1")
-        rank = m.ranking_metrics(m.score_steps(s)).withColumn("family", F.lit(name))
-        tol = m.tolerant(s, ["family"], 2).select("family", F.col("f1").alias("f1_within_2"))
-        first = m.first_call_summary(m.first_call_errors(s, ["family"]), ["family"]).select("family", "stints", "never_called", "within_2_laps")
-        neu = m.neutral_metrics(s, ["family"]).select("family", "balanced_accuracy")
-        out.append(reduce(lambda x, y: x.join(y, "family", "left"), [cls, rank, tol, first, neu]).withColumn("threshold", F.lit(float(best))))
-    return scored(out)
+    """Four feature families scored on the development and the test season, at thresholds frozen on the development season."""
+    s, by = scored_calls(c), ["split", "family"]
+    cls = m.classification(s, by).select(*by, "precision", "recall", "f1")
+    rank = m.ranking_metrics(m.score_steps(s, keys=by), by)
+    tol = [m.tolerant(s, by, k).select(*by, F.col("f1").alias(f"f1_within_{k}")) for k in (1, 2)]
+    first = m.first_call_summary(m.first_call_errors(s, by), by).select(*by, "stints", "never_called", "within_2_laps")
+    neu = m.neutral_metrics(s, by).select(*by, "balanced_accuracy")
+    size = s.groupBy(*by).agg(F.count(F.lit(1)).alias("states"), F.first("threshold").alias("threshold"))
+    return reduce(lambda x, y: x.join(y, by, "left"), [cls, size, rank, *tol, first, neu])
 
 
 @query("m_23_explicit_equations")
