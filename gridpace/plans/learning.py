@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gridpace.constants import DEV_YEARS, TEST_YEARS, TRAIN_YEARS
 from gridpace.functions.expr import recency_weight
-from gridpace.operators import boosting as bt
 from gridpace.operators import bundle, decisions
+from gridpace.operators import forest as fo
 from gridpace.operators import histboost as hb
 from gridpace.operators import linear as ln
 from gridpace.operators import metrics as m
@@ -125,13 +125,34 @@ def general_ridge(c):
     return scored(out)
 
 
+# Columns and size of the study's forests.
+FOREST_NUMERIC, FOREST_CATEGORIES = ("tyre_life", "quarter", "lap"), ("compound", "driver", "bucket", "circuit")
+FOREST_SIZE = fo.Size(trees=100, least=2)
+
+
 @query("m_14_random_forest")
 def random_forest(c):
-    tr, dev = study(c)
-    a = bt.Assembler(tr, ["tyre_life", "quarter", "lap"], ["compound", "driver", "bucket", "circuit"])
-    mod = bt.forest(tr, a, "lap_time")
-    g = m.regression_metrics(mod.transform(a.transform(dev)), [], "lap_time", "prediction").select(F.lit("dev_r2").alias("item"), F.col("r2").alias("value"))
-    return g.unionByName(c.spark.createDataFrame([(f"importance_{n}", v) for n, v in bt.importances(mod, a.names)], "item string, value double"))
+    """Four forests: lap time and pace delta, raw and standardised columns. Scores on training and development laps, and importances.
+
+    A split on one level of a category counts for that level. Standardised columns split alike, so their scores repeat the raw ones.
+    """
+    def make():
+        tr, dev = (x.dropna(subset=FOREST_NUMERIC).select("race_no", "drv", "lap", "lap_time", "delta", "tyre_life", "quarter", *FOREST_CATEGORIES) for x in study(c))
+        s = tr.agg(*[f(x).alias(f"{x}_{k}") for x in FOREST_NUMERIC for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        z = {x: (F.col(x) - s[f"{x}_m"]) / (s[f"{x}_s"] or 1.0) for x in FOREST_NUMERIC}
+        f = hb.Features.of(tr, FOREST_NUMERIC, singles=FOREST_CATEGORIES)
+        jobs, rows = {}, {}
+        for target in ("lap_time", "delta"):
+            for kind, scale in (("raw", lambda d: d), ("standardised", lambda d: d.withColumns(z))):
+                name = f"{target} {kind}"
+                known = {k: scale(d.withColumn("lap_key", F.col("lap")).filter(F.col(target).isNotNull())).withColumns({"part": F.lit(k), "y": F.col(target)}) for k, d in (("train", tr), ("dev", dev))}
+                jobs[name], rows[name] = hb.Job(known["train"], f, target, FOREST_SIZE), known["train"].unionByName(known["dev"])
+        mod = fo.fit(jobs)
+        g = m.regression_metrics(mod.predict(rows, ["part", "race_no", "drv", "lap_key", "y"]), ["fit", "part"], "y", "prediction")
+        items = F.explode(F.array(*[F.struct(F.concat("part", F.lit(f"_{n}")).alias("item"), e.alias("value")) for n, e in (("r2", F.col("r2")), ("mse", F.col("rmse") * F.col("rmse")), ("laps", F.col("n").cast("double")))])).alias("i")
+        imp = mod.importances().select("fit", F.concat(F.lit("importance_"), "feature").alias("item"), F.col("importance").alias("value"))
+        return stage(g.select("fit", items).select("fit", "i.item", "i.value").unionByName(imp), "forests")
+    return c.memo("forests", make)
 
 
 # Size of the study's boosted models of the pace delta, of all compounds together and of one compound, and of a
