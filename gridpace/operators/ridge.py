@@ -2,9 +2,11 @@
 
 Race-local coefficients (base pace per car, race offsets, race wear rates) of
 different races never meet, so the penalised normal equations have an arrow
-shape: every race is eliminated on its own (Schur complement), the small
-reduced systems are added up by circuit, one shared system of 32 + 5 per
-circuit unknowns is solved, and each race is back-substituted. This is exact.
+shape at two levels: every race is eliminated on its own (Schur complement) and
+the reduced systems are added up by circuit; every circuit's 5 unknowns are
+eliminated in a task in the same way, so that 32 unknowns are left for the
+driver to solve, per replicate; circuits and races are then back-substituted in
+tasks. This is exact, and nothing on the driver grows with races or circuits.
 
 Laps are read once per pass and only folded into per-(race, car) sums; the
 fitted model is a set of coefficient tables.
@@ -45,7 +47,7 @@ SHARED_IX = [i for *_, i in GLOBAL] + [i for *_, i in CIRC]
 RACE_IX = [i for *_, i in RACE]
 NG, NS, NR = len(GLOBAL), len(SHARED_IX), len(RACE_IX)
 TRI = np.triu_indices(P + 1)
-MAX_SHARED_ROWS = 200_000  # circuits x replicates the driver is willing to solve for
+BROADCAST_CIRCUITS = 10_000  # circuits x replicates (5 numbers each) sent to every task; more are shuffled
 
 
 def base_matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -193,72 +195,104 @@ def _reduce(sigmas: dict[int, float]):
 LOCAL = "replicate int, race_no bigint, cars array<bigint>, fe array<double>, race_coef array<double>, fe_default double"
 
 
-def _back_substitute(sigmas: dict[int, float], shared: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]):
+def _back_substitute(sigmas: dict[int, float], shared: dict[int, np.ndarray]):
+    """Race-local terms of races that carry their circuit's terms in ``circ_coef``."""
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.w == 0:
                     continue
-                g, circ = shared[r.replicate]
+                circ = np.zeros(NS - NG) if r.circ_coef is None else np.asarray(r.circ_coef, float)
                 ll, ls, _, bl, _ = _race_system(r.xx, r.cars, r.sums, r.w, sigmas[r.replicate])
-                b = np.linalg.solve(ll, bl - ls @ np.concatenate([g, circ.get(r.circuit, np.zeros(5))]))
+                b = np.linalg.solve(ll, bl - ls @ np.concatenate([shared[r.replicate], circ]))
                 D = len(r.cars)
                 out.append((r.replicate, r.race_no, r.cars, b[:D], b[D:], float(np.median(b[:D]))))
             yield pd.DataFrame(out, columns=["replicate", "race_no", "cars", "fe", "race_coef", "fe_default"])
     return run
 
 
-def solve_shared(reduced: list, sigmas: dict[int, float]) -> dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """Assemble and solve the shared system of each replicate: 32 global unknowns and 5 per circuit."""
-    by_rep: dict[int, dict[str, np.ndarray]] = {}
-    for r in reduced:
-        by_rep.setdefault(r["replicate"], {})[r["circuit"]] = np.array(r["red"], float).reshape(NS, NS + 1)
-    out = {}
-    for rep, parts in by_rep.items():
-        circuits = sorted(parts)
-        n = NG + 5 * len(circuits)
-        A, b = np.zeros((n, n)), np.zeros(n)
-        lam, _, _ = _penalties(sigmas[rep])
-        for i, c in enumerate(circuits):
-            ix = np.r_[0:NG, NG + 5 * i: NG + 5 * (i + 1)]
-            A[np.ix_(ix, ix)] += parts[c][:, :NS]
-            b[ix] += parts[c][:, NS]
-        A[np.diag_indices(n)] += np.concatenate([lam[:NG], np.tile(lam[NG:], len(circuits))])
-        x = np.linalg.solve(A, b)
-        out[rep] = (x[:NG], {c: x[NG + 5 * i: NG + 5 * (i + 1)] for i, c in enumerate(circuits)})
-    return out
+CIRCUITS = "replicate int, circuit string, circ_coef array<double>"
+
+
+def _circuit_system(red, sigma: float):
+    """Global-global, global-circuit and circuit-circuit blocks of one circuit's reduced system, the last with its penalties."""
+    M = np.asarray(red, float).reshape(NS, NS + 1)
+    lam, _, _ = _penalties(sigma)
+    return M[:NG, :NG], M[:NG, NG:NS], M[NG:, NG:NS] + np.diag(lam[NG:]), M[:NG, NS], M[NG:, NS]
+
+
+def _eliminate_circuits(sigmas: dict[int, float]):
+    def run(batches):
+        acc: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                gg, gc, cc, bg, bc = _circuit_system(r.red, sigmas[r.replicate])
+                sol = np.linalg.solve(cc, np.column_stack([gc.T, bc]))
+                v = np.column_stack([gg - gc @ sol[:, :NG], bg - gc @ sol[:, NG]]).ravel()
+                acc[r.replicate] = acc[r.replicate] + v if r.replicate in acc else v
+        if acc:
+            yield pd.DataFrame([(k, v) for k, v in acc.items()], columns=["replicate", "red"])
+    return run
+
+
+def _substitute_circuits(sigmas: dict[int, float], shared: dict[int, np.ndarray]):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                _, gc, cc, _, bc = _circuit_system(r.red, sigmas[r.replicate])
+                out.append((r.replicate, r.circuit, np.linalg.solve(cc, bc - gc.T @ shared[r.replicate])))
+            yield pd.DataFrame(out, columns=["replicate", "circuit", "circ_coef"])
+    return run
+
+
+def solve_shared(reduced: DataFrame, sigmas: dict[int, float]) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """The 32 global terms of each replicate, and the table of circuit terms, from reduced systems (replicate, circuit, red)."""
+    part = reduced.mapInPandas(_eliminate_circuits(sigmas), "replicate int, red array<double>")
+    shared = {}
+    for r in sum_arrays(part, ["replicate"], ["red"]).collect():  # 32 x 33 numbers per replicate
+        M = np.array(r["red"], float).reshape(NG, NG + 1)
+        lam, _, _ = _penalties(sigmas[r["replicate"]])
+        shared[r["replicate"]] = np.linalg.solve(M[:, :NG] + np.diag(lam[:NG]), M[:, NG])
+    return shared, reduced.mapInPandas(_substitute_circuits(sigmas, shared), CIRCUITS)
+
+
+def short(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose counted ``rows`` are few; Spark shuffles a longer one."""
+    return F.broadcast(table) if rows <= BROADCAST_CIRCUITS else table
 
 
 @dataclass
 class Model:
-    """A fitted model. ``shared`` is small (32 numbers and 5 per circuit, per replicate); race-local terms are a table."""
+    """A fitted model. ``shared`` holds 32 numbers per replicate; circuit terms (replicate, circuit, circ_coef) and race-local terms are tables."""
 
     spark: SparkSession
-    shared: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]
+    shared: dict[int, np.ndarray]
+    circuits: DataFrame
+    n_circuits: int  # rows of ``circuits``
     local: DataFrame
     sigma: dict[int, float]
     n_laps: int = 0
     laps: DataFrame | None = field(default=None, repr=False)
 
     def coef(self, block: str, key: str, rep: int = 0) -> float:
-        g, circ = self.shared[rep]
         for i, (b, k, _) in enumerate(GLOBAL):
             if (b, k) == (block, key):
-                return float(g[i])
+                return float(self.shared[rep][i])
         if block in ("off_circ", "deg_circ"):
             c, comp = key.split("|")
             j = [(b, k) for b, k, _ in CIRC].index((block, comp))
-            return float(circ[c][j]) if c in circ else 0.0
+            row = self.circuits.filter((F.col("replicate") == rep) & (F.col("circuit") == c)).first()
+            return float(row["circ_coef"][j]) if row else 0.0
         return 0.0
 
     def shared_table(self) -> DataFrame:
         """(replicate, block, circuit, key, value); circuit is null for global terms."""
-        rows = []
-        for rep, (g, circ) in self.shared.items():
-            rows += [(rep, b, None, k, float(v)) for (b, k, _), v in zip(GLOBAL, g)]
-            rows += [(rep, b, c, k, float(v)) for c, x in circ.items() for (b, k, _), v in zip(CIRC, x)]
-        return self.spark.createDataFrame(rows, "replicate int, block string, circuit string, key string, value double")
+        rows = [(rep, b, None, k, float(v)) for rep, g in self.shared.items() for (b, k, _), v in zip(GLOBAL, g)]
+        terms = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(k).alias("key"), F.col("circ_coef")[i].alias("value")) for i, (b, k, _) in enumerate(CIRC)])).alias("x")
+        circ = self.circuits.select("replicate", "circuit", terms).select("replicate", "x.block", "circuit", "x.key", "x.value")
+        return self.spark.createDataFrame(rows, "replicate int, block string, circuit string, key string, value double").unionByName(circ)
 
     def local_table(self) -> DataFrame:
         """(replicate, race_no, block, key, value) for base paces, race offsets and race wear rates."""
@@ -270,22 +304,18 @@ class Model:
 
     def circuit_frame(self, rep: int = 0) -> DataFrame:
         """One row per circuit with its offsets and wear deviations."""
-        rows = [(c, [float(v) for v in x]) for c, x in self.shared[rep][1].items()]
-        return self.spark.createDataFrame(rows, "circuit string, circ_coef array<double>")
+        return self.circuits.filter(F.col("replicate") == rep).select("circuit", "circ_coef")
 
     def with_circuit(self, laps: DataFrame, rep: int = 0) -> DataFrame:
-        """Attach circuit terms; the table's length is known here, so it is broadcast only while short."""
-        cf = self.circuit_frame(rep)
-        if len(self.shared[rep][1]) <= 10_000:
-            cf = F.broadcast(cf)
-        return laps.join(cf, "circuit", "left")
+        """Attach circuit terms."""
+        return laps.join(short(self.circuit_frame(rep), self.n_circuits), "circuit", "left")
 
     def global_column(self, rep: int | None = 0) -> Column:
         """Everything except race-local terms, over lap columns plus ``circ_coef``; unknown circuits add nothing.
 
         Without ``rep`` the terms are taken from each row's array ``terms``.
         """
-        g = {(b, k): F.col("terms")[i] if rep is None else float(self.shared[rep][0][i]) for i, (b, k, _) in enumerate(GLOBAL)}
+        g = {(b, k): F.col("terms")[i] if rep is None else float(self.shared[rep][i]) for i, (b, k, _) in enumerate(GLOBAL)}
         L, age = F.col("l_scale"), F.col("age").cast("double")
         temp = (F.col("track_temp") - 35.0) / 10.0
         circ = lambda i: F.coalesce(F.col("circ_coef")[i], F.lit(0.0))
@@ -308,12 +338,8 @@ class Model:
 
     def predict_replicates(self, laps: DataFrame, out: str = "pred") -> DataFrame:
         """Every row of (replicate, lap columns) by its own replicate, in one pass over ``laps``."""
-        terms = self.spark.createDataFrame([(r, [float(v) for v in g]) for r, (g, _) in self.shared.items()], "replicate int, terms array<double>")
-        circ = self.spark.createDataFrame([(r, c, [float(v) for v in x]) for r, (_, cs) in self.shared.items() for c, x in cs.items()],
-                                          "replicate int, circuit string, circ_coef array<double>")
-        if len(self.shared) <= 10_000:  # one row per replicate
-            terms = F.broadcast(terms)
-        df = laps.join(terms, "replicate").join(circ, ["replicate", "circuit"], "left").withColumn("_g", self.global_column(None)).drop("circ_coef", "terms")
+        terms = self.spark.createDataFrame([(r, [float(v) for v in g]) for r, g in self.shared.items()], "replicate int, terms array<double>")
+        df = laps.join(short(terms, len(self.shared)), "replicate").join(short(self.circuits, self.n_circuits), ["replicate", "circuit"], "left").withColumn("_g", self.global_column(None)).drop("circ_coef", "terms")
         local = self.local.drop("n_obs")
         df = df.join(local, ["replicate", "race_no"], "left")
         return df.withColumn(out, F.col("_g") + local_column()).drop("_g", "cars", "fe", "race_coef", "fe_default")
@@ -339,18 +365,19 @@ def local_column() -> Column:
 def local_fit(model: Model, rep_laps: DataFrame) -> DataFrame:
     """Race-local terms from all of a race's representative laps, shared terms held fixed."""
     stats = race_stats(rep_laps.select(*LAP_COLS).withColumn("replicate", F.lit(0))).withColumn("w", F.lit(1.0))
-    return stats.mapInPandas(_back_substitute({0: model.sigma[0]}, model.shared), LOCAL).drop("replicate")
+    circ = short(model.circuits.filter("replicate = 0"), model.n_circuits)
+    return stats.join(circ, ["replicate", "circuit"], "left").mapInPandas(_back_substitute({0: model.sigma[0]}, model.shared), LOCAL).drop("replicate")
 
 
 def _round(stats: DataFrame, weights: DataFrame | None, sigmas: dict[int, float]):
-    """One penalised solve from statistics: reduced systems, shared solution, race-local table."""
+    """One penalised solve from statistics: global terms, circuit table and its rows, race-local table."""
     t = stats.withColumn("w", F.lit(1.0)) if weights is None else stats.join(weights, ["replicate", "race_no"])
-    red = sum_arrays(t.mapInPandas(_reduce(sigmas), "replicate int, circuit string, red array<double>"), ["replicate", "circuit"], ["red"])
-    rows = red.take(MAX_SHARED_ROWS + 1)  # circuits x replicates, never laps
-    if len(rows) > MAX_SHARED_ROWS:
-        raise ValueError("too many circuits x replicates for one shared solve")
-    shared = solve_shared(rows, sigmas)
-    return shared, t.mapInPandas(_back_substitute(sigmas, shared), LOCAL)
+    red = stage(sum_arrays(t.mapInPandas(_reduce(sigmas), "replicate int, circuit string, red array<double>"), ["replicate", "circuit"], ["red"]), "reduced")
+    shared, circuits = solve_shared(red, sigmas)
+    circuits = stage(circuits, "circuit-terms")
+    n = circuits.count()
+    local = t.join(short(circuits, n), ["replicate", "circuit"], "left").mapInPandas(_back_substitute(sigmas, shared), LOCAL)
+    return shared, circuits, n, local
 
 
 def robust_sigma(resid: DataFrame, weighted: bool) -> dict[int, float]:
@@ -374,8 +401,8 @@ def fit(rep_laps: DataFrame, sigma: float = FIRST_PASS_SIGMA, passes: int = 2, w
         stats = stage(race_stats(laps), "race-stats")
         if weights is not None and p == 0:
             stats = stats.drop("replicate").join(weights.select("replicate", "race_no"), "race_no")
-        shared, local = _round(stats, weights, sigmas)
-        model = Model(spark, shared, stage(local, "race-local"), sigmas)
+        shared, circuits, n, local = _round(stats, weights, sigmas)
+        model = Model(spark, shared, circuits, n, stage(local, "race-local"), sigmas)
         if weights is not None and p == 0:
             laps = laps.drop("replicate").join(weights, "race_no")
         scored = model.predict_replicates(laps)

@@ -274,7 +274,7 @@ def model_export(c):
     mod, b = bundle.model(c), bundle.boots(c)
     shared = lambda g: {f"{block}:{key}": float(v) for (block, key, _), v in zip(GLOBAL, g)}
     whole = {"compounds": list(DRY), "knots": list(KNOTS), "fuel": round(mod.coef("fuel", "fuel"), 5), "sigma": round(float(mod.sigma[0]), 3), "cliff": CLIFF,
-             "sc_ratio_eff": SC_RATIO_EFF, "terms": shared(mod.shared[0][0]), "boots": [{"replicate": r, "terms": shared(g)} for r, (g, _) in sorted(b.shared.items())]}
+             "sc_ratio_eff": SC_RATIO_EFF, "terms": shared(mod.shared[0]), "boots": [{"replicate": r, "terms": shared(g)} for r, g in sorted(b.shared.items())]}
     key = F.concat_ws(":", "block", "key")
     boots = b.shared_table().filter("circuit is not null").groupBy("circuit", "replicate").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.round("value", 5).alias("v"))))).alias("terms"))  # a circuit's few terms
