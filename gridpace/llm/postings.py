@@ -51,17 +51,17 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def fit(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """``k`` centroids of a sample, by Lloyd's rounds that charge for crowded lists and restart empty ones."""
+    """``k`` centroids of a sample, by Lloyd's rounds that charge for crowded lists, in proportion to the sample's spread, and restart empty ones."""
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), k, replace=False)]
-    load = np.zeros(k)
+    load, spread = np.zeros(k), float(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean())
     for _ in range(rounds):
         near = np.concatenate([((c * c).sum(axis=1) - 2 * b @ c.T + load).argmin(axis=1) for b in np.array_split(x, max(1, len(x) // 4096))])
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.choice(len(x), k)])
-        load = 0.05 * (size / max(1.0, size.mean()) - 1).clip(0, 4)
+        load = 0.05 * spread * (size / max(1.0, size.mean()) - 1).clip(0, 4)
     return c
 
 
@@ -165,7 +165,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
     entries = save(entries.select("k1", "k2", "v").join(ids, ["k1", "k2"]), "entries")
     n = entries.count()
     draw = F.col("k1").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    sample = entries.where(draw <= SAMPLE / n).select("v").toArrow() if n > SAMPLE else entries.select("v").toArrow()  # about SAMPLE rows
+    drawn = entries.where(draw <= SAMPLE / n) if n > SAMPLE else entries
+    sample = drawn.orderBy("k1", "k2").select("v").toArrow()  # about SAMPLE rows, in an order that reruns repeat
     x = lifted(matrix(sample.column("v"), dim), longest)
     lists = int(min(MOST_LISTS, max(1, n // LIST), len(x)))
     centroids = fit(x, lists)

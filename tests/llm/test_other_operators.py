@@ -188,6 +188,18 @@ def test_neighbours(spark):
     assert postings.search(few, few.limit(0)).count() == 0
 
 
+def test_neighbours_of_reruns_clashing_names_and_one_id_twice(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2000, 8))
+    rows = [(i, v.tolist(), 1, "p", 0.5) for i, v in enumerate(x)] + [(20, x[5].tolist(), 1, "p", 0.5)]  # id 20 has two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, part string, v double")
+    one = sorted(map(tuple, postings.search(df, df.where("vec_id % 20 = 0")).collect()))
+    two = sorted(map(tuple, postings.search(df.repartition(7), df.where("vec_id % 20 = 0")).collect()))
+    assert one == two and len({r_[0] for r_ in one}) == 100
+    tiny = postings.fit(x[:500] * 1e-6, 20), postings.fit(x[:500], 20)
+    assert np.allclose(tiny[0] * 1e6, tiny[1])
+
+
 def test_graph_search_finds_near_centroids():
     c = np.random.default_rng(5).normal(size=(500, 12))
     x = np.random.default_rng(6).normal(size=(200, 12))
