@@ -26,7 +26,7 @@ def group_quantile(df: DataFrame, keys: list[str], value: Column, q: float, out:
         return base.groupBy(*keys).agg(F.percentile("_v", F.lit(q), F.col("_n")).alias(out))
     if weight is not None:
         base = base.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
-        # a weighted sketch does not exist, so bracket on equal-width bins instead
+        # a weighted sketch does not exist
         return _binned(base, keys, q, out)
     lo, hi = max(q - MARGIN, 0.0), min(q + MARGIN, 1.0)
     st = base.groupBy(*keys).agg(
@@ -58,19 +58,37 @@ def _pick(vc: DataFrame, cnt: DataFrame, keys: list[str], q: float, out: str) ->
     return g.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias(out))
 
 
+def _leading_bits(v: Column) -> Column:
+    """Sign, exponent and six bits of the mantissa of a double as one number that orders like it: an outlier moves no other value's bin.
+
+    Where the logarithm rounds across a power of two, exponent and fraction make up for each other.
+    """
+    size = F.least(F.abs(v), F.lit(1.7e308))
+    e = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-300)))), F.lit(-1000)).cast("bigint")
+    b = (e + 1001) * 64 + F.floor((size / F.pow(F.lit(2.0), e.cast("double")) - 1) * 64)
+    return F.when(v < 0, -b - 1).otherwise(b)
+
+
+def _zoom(vc: DataFrame, cnt: DataFrame, keys: list[str], q: float, code: Column) -> DataFrame:
+    """Rows (keys, _x, _n) of the bins of ``code`` that hold the wanted ranks; all below them become one counted row with a null _x."""
+    c = vc.withColumn("_bin", F.when(F.col("_x").isNotNull(), code))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # bins, not rows
+    per = c.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn")).withColumn("_bc", F.sum("_bn").over(w))
+    per = _join(per, cnt.withColumn("_p", F.lit(q) * (F.col("_cnt") - 1)), keys)
+    covers = lambda pos: (F.col("_bc") - F.col("_bn") <= pos) & (F.col("_bc") > pos)
+    want = per.groupBy(*keys).agg(*[F.max(F.when(covers(f("_p")), F.col("_bin"))).alias(n) for f, n in ((F.floor, "_b0"), (F.ceil, "_b1"))])
+    near = _join(c, want, keys).filter("_bin is null or _bin <= _b1")
+    return near.withColumn("_x", F.when(F.col("_bin") >= F.col("_b0"), F.col("_x"))).groupBy(*keys, "_x").agg(F.sum("_n").alias("_n"))
+
+
 def _binned(vc: DataFrame, keys: list[str], q: float, out: str, bins: int = 4096) -> DataFrame:
-    st = vc.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.sum("_n").alias("_cnt"))
-    j = _join(vc, st, keys).withColumn(
-        "_bin", F.when(F.col("_max") > F.col("_min"),
-                       F.least(F.floor((F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min")) * bins), F.lit(bins - 1)))
-        .otherwise(F.lit(0)))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    per = j.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"), F.first("_cnt").alias("_cnt")).withColumn("_bc", F.sum("_bn").over(w))
-    p = F.lit(q) * (F.col("_cnt") - 1)
-    want = per.groupBy(*keys).agg(
-        F.max(F.when((F.col("_bc") - F.col("_bn") <= F.floor(p)) & (F.col("_bc") > F.floor(p)), F.col("_bin"))).alias("_b0"),
-        F.max(F.when((F.col("_bc") - F.col("_bn") <= F.ceil(p)) & (F.col("_bc") > F.ceil(p)), F.col("_bin"))).alias("_b1"))
-    near = _join(j.select(*keys, "_v", "_n", "_bin"), want, keys).filter("_bin <= _b1")
-    rows = (near.withColumn("_x", F.when(F.col("_bin") >= F.col("_b0"), F.col("_v")))
-            .groupBy(*keys, "_x").agg(F.sum("_n").alias("_n")))
-    return _pick(rows, st.select(*keys, "_cnt"), keys, q, out)
+    """Radix selection over counted values: the leading bits choose a bin, equal steps inside it choose a part, and only its values are ranked."""
+    cnt = vc.groupBy(*keys).agg(F.sum("_n").alias("_cnt"))
+    return _pick(_narrowed(vc, cnt, keys, q, bins), cnt, keys, q, out)
+
+
+def _narrowed(vc: DataFrame, cnt: DataFrame, keys: list[str], q: float, bins: int) -> DataFrame:
+    near = _zoom(vc.withColumnRenamed("_v", "_x"), cnt, keys, q, _leading_bits(F.col("_x")))
+    edge = near.groupBy(*keys).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    step = F.when(F.col("_max") > F.col("_min"), F.least(F.floor((F.col("_x") - F.col("_min")) / (F.col("_max") - F.col("_min")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    return _zoom(_join(near, edge, keys), cnt, keys, q, step)

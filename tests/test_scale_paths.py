@@ -57,6 +57,25 @@ def test_weighted_quantile_equals_repeated_rows(spark):
         assert abs(got[k] - np.median(np.repeat(g["v"], g["w"]))) < 1e-12
 
 
+def test_outliers_and_ties_leave_few_values_to_rank(spark):
+    from gridpace.operators import quantile
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random(40_000) < 0.9, 7.25, rng.normal(90, 3, 40_000))
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 40_000), "v": np.concatenate([v[:39_990], [1e12, -1e12, 0.0, -0.0, 1e-310, -1e-310, 1.7e308, 8.0, -8.0, np.nextafter(8, 0)]]), "w": rng.integers(1, 4, 40_000)})
+    df = spark.createDataFrame(pdf)
+    for q in (0.0, 0.02, 0.5, 0.95, 1.0):
+        got = group_quantile(df, ["k"], F.col("v"), q, "x", weight=F.col("w")).toPandas().set_index("k")["x"]
+        for k, g in pdf.groupby("k"):
+            want = np.quantile(np.repeat(g["v"], g["w"]), q)
+            assert abs(got[k] - want) <= 1e-12 * max(1.0, abs(want))
+    vc = df.groupBy("v").agg(F.sum("w").alias("_n")).withColumnRenamed("v", "_v")
+    near = quantile._narrowed(vc, vc.agg(F.sum("_n").alias("_cnt")), [], 0.97, 4096)
+    assert near.count() < 20 < vc.count() / 100
+    x = spark.range(-3000, 3001).select((F.col("id") / 7 * F.pow(F.lit(2.0), F.col("id") % 40)).alias("x"))
+    b = x.select("x", quantile._leading_bits(F.col("x")).alias("b")).orderBy("x").toPandas()
+    assert (np.diff(b.b) >= 0).all() and b.b.nunique() > 1500
+
+
 def test_asof_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     left = pd.DataFrame({"g": rng.integers(0, 2, 200), "t": rng.integers(0, 1000, 200), "id": range(200)})
