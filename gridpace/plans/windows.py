@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridpace.functions.expr import big, lerp, rnd, status_bucket
 from gridpace.operators.field import field_pace, green_pace
 from gridpace.operators.form import previous_visit, rolling_form
+from gridpace.operators.ordering import placed
 from gridpace.operators.scan import framed, running
 from gridpace.plans.joins import FORM_SQL
 from gridpace.plans.sqltext import feat_sql, laps_sql
@@ -100,14 +101,9 @@ def visit(c):
 @query("w_10_race_index", laps_sql("""
 select race_no, dense_rank() over (order by year, round_no) as race_index from (select distinct race_no, year, round_no from laps)"""))
 def race_index(c):
-    """Chronological index: rank inside the season plus the races of earlier seasons; no unpartitioned window over races."""
+    """Chronological index: a race's place in the order of all, counted by ranges."""
     races = c.raw_laps.groupBy("year", "round_no").agg(F.max("race_no").alias("race_no"))
-    per_year = races.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    before = per_year.alias("a").join(per_year.alias("b"), F.col("b.year") < F.col("a.year"), "left").groupBy("a.year").agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("off"))
-    w = Window.partitionBy("year").orderBy("round_no")
-    return races.withColumn("r", F.row_number().over(w)).join(F.broadcast(before), "year").select(
-        "race_no", (F.col("r") + F.col("off")).cast("bigint").alias("race_index"))
+    return placed(races, [], ["year", "round_no"]).select("race_no", F.col("pos").cast("bigint").alias("race_index"))
 
 
 @query("w_11_pace_drop", feat_sql(f"""
