@@ -7,14 +7,15 @@ After resampling every series has exactly ``N_POINTS`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridpace.constants import BLOCK_LAPS
 from gridpace.operators.scan import running
 
 N_POINTS = 360
-TRACK_M = 5000.0          # nominal length used to turn metres into grid steps
+POSITION_M = 6.0          # metres of one step of the derived positions
+REACH = 1_000_000         # distance in frame order that stands for a lap's own number of steps
 BUCKET_US = 600_000_000   # ten minutes of samples per bucket when a series is huge
 
 
@@ -75,73 +76,125 @@ def grid(ctx) -> DataFrame:
     return ctx.memo("telemetry_grid", make)
 
 
-def padded(g: DataFrame, before: int, after: int, period: int) -> DataFrame:
+def even_speed(ctx) -> DataFrame:
+    """The grid with speeds to six digits, so that equal speeds compare as equal."""
+    return grid(ctx).withColumn("speed", F.round("speed", 6))
+
+
+def length_m() -> Column:
+    """The lap's own length in metres."""
+    return F.round("length", 6) * POSITION_M
+
+
+def steps(m: float, n: int = N_POINTS) -> Column:
+    """Grid steps in ``m`` metres of the row's own lap, rounded half up; at most once round."""
+    return F.least(F.floor(F.lit((n - 1) * m) / length_m() + 0.5), F.lit(n - 1).cast("bigint"))
+
+
+def padded(g: DataFrame, before: int | Column, after: int | Column, period: int) -> DataFrame:
     """A closed lap: rows near the ends are repeated one period away so windows can run around the loop."""
-    shift = F.array(F.lit(0), F.when(F.col("i") >= period - before, F.lit(-period)), F.when(F.col("i") < after, F.lit(period)))
+    shift = F.array(F.lit(0), F.when(F.col("i") >= F.lit(period) - before, F.lit(-period)), F.when(F.col("i") < after, F.lit(period)))
     return g.filter(F.col("i") < period).withColumn("_d", F.explode(F.filter(shift, lambda x: x.isNotNull()))).withColumn("j", F.col("i") + F.col("_d"))
 
 
-def metres(m: float, n: int = N_POINTS) -> int:
-    return round((n - 1) * m / TRACK_M)
+def within(k: Column) -> WindowSpec:
+    """Window over a lap in which the rows up to ``k`` steps away, and no others, lie within REACH; ``k`` is one per lap."""
+    return Window.partitionBy("key").orderBy(F.floor(F.col("j") * REACH / (k + 0.5)))
 
 
 def speed_corners(g: DataFrame, n: int = N_POINTS, drop: float = 20.0) -> DataFrame:
-    """Speed minima within 120 m that lie ``drop`` below the peak of the braking run before them (up to 700 m)."""
-    win, reach, brake = max(2, metres(120, n)), metres(700, n), metres(350, n)
-    p = padded(g.select("key", "i", "speed"), reach, win, n - 1)
-    w = Window.partitionBy("key").orderBy("j")
-    back = F.reverse(F.collect_list("speed").over(w.rowsBetween(-reach, -1)))  # at most ``reach`` values
-    p = p.select("key", "i", "j", "speed", F.min("speed").over(w.rowsBetween(-win, -1)).alias("lo_back"), F.min("speed").over(w.rowsBetween(1, win)).alias("lo_ahead"),
-                 back.alias("back"))
+    """Speed minima within 120 m that lie ``drop`` below the peak of the braking run before them (up to 700 m).
+
+    Metres are those of the lap's own ``length``, so frames differ from lap to lap.
+    """
+    p = g.select("key", "i", "speed", "length", F.greatest(F.lit(2), steps(120, n)).alias("win"), steps(700, n).alias("reach"), steps(350, n).alias("brake"))
+    p = padded(p, F.greatest("win", "reach"), F.col("win"), n - 1)
+    near = within(F.col("win"))
+    back = F.reverse(F.collect_list("speed").over(within(F.col("reach")).rangeBetween(-REACH, -1)))  # less than a lap
+    p = p.select("key", "i", "j", "speed", "length", "brake", F.min("speed").over(near.rangeBetween(-REACH, -1)).alias("lo_back"),
+                 F.min("speed").over(near.rangeBetween(1, REACH)).alias("lo_ahead"), back.alias("back"))
     p = p.filter((F.col("i") == F.col("j")) & (F.col("lo_back") >= F.col("speed")) & (F.col("lo_ahead") > F.col("speed")))
     cut = F.array_position(F.transform("back", lambda v: v < F.col("speed")), True)
     run = F.when(cut > 0, F.slice("back", F.lit(1), cut)).otherwise(F.col("back"))
     p = p.withColumn("peak", F.array_max(run)).withColumn("peak_at", F.array_position(run, F.array_max(run)))
     return p.filter(F.col("peak") - F.col("speed") >= drop).select("key", F.col("i").alias("apex"), "speed", "peak",
-                                                                  F.least(F.col("peak_at"), F.lit(brake).cast("bigint")).alias("entry_steps"))
+                                                                  F.least("peak_at", "brake").alias("entry_steps"), "length")
 
 
-def smooth(g: DataFrame, cols: list[str], half: int = 3, passes: int = 2, n: int = N_POINTS) -> DataFrame:
+def smooth(g: DataFrame, cols: list[str], half: int = 3, passes: int = 2, n: int = N_POINTS, keep: list[str] = ()) -> DataFrame:
     """Circular moving average over 2 * half + 1 points, repeated."""
     out = g
     for _ in range(passes):
-        p = padded(out.select("key", "i", *cols), half, half, n - 1)
+        p = padded(out.select("key", "i", *cols, *keep), half, half, n - 1)
         w = Window.partitionBy("key").orderBy("j").rowsBetween(-half, half)
-        out = p.select("key", "i", "j", *[F.avg(c).over(w).alias(c) for c in cols]).filter("i = j").drop("j")
+        out = p.select("key", "i", "j", *[F.avg(c).over(w).alias(c) for c in cols], *keep).filter("i = j").drop("j")
     return out
 
 
 def angle_between(a: Column, b: Column) -> Column:
-    return F.atan2(F.sin(b - a), F.cos(b - a))
+    """Turn from heading ``a`` to ``b`` in (-pi, pi]; nine digits of sine and cosine, so that a full reversal is pi."""
+    return F.atan2(F.round(F.sin(b - a), 9), F.round(F.cos(b - a), 9))
 
 
-def heading_change(g: DataFrame, n: int = N_POINTS) -> DataFrame:
-    """Turn between 60 m behind and 60 m ahead of every point of the smoothed line."""
-    step = max(1, metres(60, n))
-    s = smooth(g, ["x", "y"], n=n)
-    p = padded(s, step + 1, step + 1, n - 1)
+def headings(g: DataFrame, n: int = N_POINTS) -> DataFrame:
+    """Direction ``h`` of the smoothed line at every point of the loop."""
+    s = smooth(g, ["x", "y"], n=n, keep=["length"]).withColumns({c: F.round(c, 6) for c in ("x", "y")})
     w = Window.partitionBy("key").orderBy("j")
-    p = p.withColumn("h", F.atan2(F.lead("y").over(w) - F.lag("y").over(w), F.lead("x").over(w) - F.lag("x").over(w)))
-    p = p.withColumn("turn", angle_between(F.lag("h", step).over(w), F.lead("h", step).over(w)))
-    return p.filter("i = j").select("key", "i", "turn")
-
-
-def sweep_corners(g: DataFrame, n: int = N_POINTS, min_turn: float = 0.6) -> DataFrame:
-    """Flat-out direction changes with no corner within 220 m, picked in lap order; one key (n rows) at a time."""
-    import pandas as pd
-    gap, period = metres(220, n), n - 1
-    every = max(1, round(max(2, metres(60, n)) / 4))
-    rows = heading_change(g, n).join(speed_corners(g, n).select("key", F.col("apex").alias("i"), F.lit(True).alias("known")), ["key", "i"], "left")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        taken = [int(i) for i in pdf.loc[pdf["known"].notna(), "i"]]
-        out = []
-        for i, turn in zip(pdf["i"], pdf["turn"]):
-            if i % every or pd.isna(turn) or abs(turn) <= min_turn:
-                continue
-            if all(min(abs(i - k), period - abs(i - k)) >= gap for k in taken):
-                taken.append(int(i))
-                out.append((pdf["key"].iloc[0], int(i), float(turn)))
-        return pd.DataFrame(out, columns=["key", "apex", "turn"])
-    return rows.groupBy("key").applyInPandas(pick, "key bigint, apex bigint, turn double")
+    p = padded(s, 1, 1, n - 1).withColumn("h", F.atan2(F.lead("y").over(w) - F.lag("y").over(w), F.lead("x").over(w) - F.lag("x").over(w)))
+    return p.filter("i = j").select("key", "i", "h", "length")
+
+
+def turns(h: DataFrame, over: dict[str, float], n: int = N_POINTS) -> DataFrame:
+    """For each name the turn from so many metres behind a point to as many ahead, the metres being the lap's own."""
+    span = {name: F.greatest(F.lit(1), steps(m, n)) for name, m in over.items()}
+    p = padded(h, F.greatest(*span.values(), F.lit(1)), F.greatest(*span.values(), F.lit(1)), n - 1)
+    cols = []
+    for name, k in span.items():
+        w = Window.partitionBy("key").orderBy(F.floor(F.col("j") * REACH / k))
+        there = lambda at: F.first("h").over(w.rangeBetween(at - 1, at + 1))  # one row: the next is REACH / (n - 1) away
+        cols.append(angle_between(there(-REACH), there(REACH)).alias(name))
+    return p.select("key", "i", "j", "length", *cols).filter("i = j").drop("j")
+
+
+def sweep_corners(turned: DataFrame, braking: DataFrame, n: int = N_POINTS, min_turn: float = 0.6) -> DataFrame:
+    """Direction changes (``turn60``) with no braking corner and no sweep picked before them within 220 m, in lap order.
+
+    A lap has at most ``n - 1`` candidates. They come in rising order, so the nearest sweep taken is the last one or,
+    round the end of the lap, the first.
+    """
+    period = n - 1
+    every = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(2), steps(60, n)) / 4 + 0.5))
+    gap = F.lit(220.0 * period) / length_m()
+    cand = turned.filter((F.col("i") % every == 0) & (F.round(F.abs(F.col("turn60")), 6) > min_turn))
+    cand = cand.groupBy("key", "length").agg(F.sort_array(F.collect_list(F.struct("i", F.col("turn60").alias("turn")))).alias("cand"))
+    known = braking.groupBy(F.col("key").alias("_k")).agg(F.collect_list("apex").alias("known"))
+    d = cand.join(known, F.col("key") == F.col("_k"), "left").withColumn("gap", gap)
+    off = lambda a, b: F.least(F.abs(a - b), F.lit(period) - F.abs(a - b))
+    d = d.withColumn("cand", F.when(F.col("known").isNull(), F.col("cand")).otherwise(
+        F.filter("cand", lambda x: F.forall("known", lambda k: off(k, x["i"]) >= F.col("gap")))))
+    first, last = lambda a: F.element_at(a, 1)["i"], lambda a: F.element_at(a, -1)["i"]
+    free = lambda a, x: (F.size(a) == 0) | ((x["i"] - last(a) >= F.col("gap")) & (F.lit(period) - (x["i"] - first(a)) >= F.col("gap")))
+    d = d.withColumn("got", F.aggregate("cand", F.expr("filter(cand, x -> false)"), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a)))
+    return d.select("key", "length", F.explode("got").alias("g")).select("key", F.col("g.i").alias("apex"), F.col("g.turn").alias("turn"), "length")
+
+
+def corner_table(g: DataFrame, n: int = N_POINTS) -> DataFrame:
+    """Braking corners and flat-out sweeps numbered round the lap.
+
+    ``entry`` and ``exit`` are fractions of the lap: the start of braking (a sweep: 150 m before it) and 60 m after the
+    apex. ``angle`` is the size of the turn within 70 m; ``dir`` its sign where it is over 0.3, else that within 15 m.
+    """
+    period = n - 1
+    turned = turns(headings(g, n), {"turn60": 60, "turn70": 70, "turn15": 15}, n)
+    braking = speed_corners(g, n)
+    sweeps = sweep_corners(turned, braking, n)
+    at = F.col("apex") / period
+    a = braking.select("key", "apex", F.lit("braking").alias("kind"), F.col("speed").alias("vmin"), ((F.col("apex") - F.col("entry_steps")) / period).alias("entry"))
+    b = sweeps.join(g.select("key", F.col("i").alias("apex"), "speed"), ["key", "apex"]).select(
+        "key", "apex", F.lit("sweep").alias("kind"), F.col("speed").alias("vmin"), (at - F.lit(150.0) / length_m()).alias("entry"))
+    c = a.unionByName(b).join(turned.withColumnRenamed("i", "apex"), ["key", "apex"])
+    wrap = lambda x: x - F.floor(x)
+    side = lambda x: F.when(F.round(x, 9) >= 0, 1).otherwise(-1)
+    return c.select("key", F.row_number().over(Window.partitionBy("key").orderBy("apex")).cast("bigint").alias("n"), "apex", "kind", "vmin", wrap(F.col("entry")).alias("entry"),
+                    wrap(at + F.lit(60.0) / length_m()).alias("exit"), F.abs("turn70").alias("angle"),
+                    F.when(F.round(F.abs("turn70"), 6) > 0.3, side(F.col("turn70"))).otherwise(side(F.col("turn15"))).alias("dir"))

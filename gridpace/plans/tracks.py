@@ -107,40 +107,70 @@ def time_to_distance(c):
     return g.select("key", "q.j", rnd(F.least(F.lit(0.99999), (F.col("i") - 1 + u) / (t.N_POINTS - 1)), 5).alias("dist"))
 
 
-CORNER_SQL = f"""rg as (select key, i, round(speed, 6) as speed from grid),
-pd as (select key, i, speed, i as j from rg where i < 359 union all select key, i, speed, i - 359 from rg where i < 359 and i >= 359 - {t.metres(700)}
-  union all select key, i, speed, i + 359 from rg where i < {t.metres(120)}),
-pw as (select *, min(speed) over (w rows between {t.metres(120)} preceding and 1 preceding) as lob, min(speed) over (w rows between 1 following and {t.metres(120)} following) as loa,
-  list_reverse(list(speed) over (w rows between {t.metres(700)} preceding and 1 preceding)) as back from pd window w as (partition by key order by j)),
+CORNER_SQL = f"""lp as (select *, round(length, 6) * {t.POSITION_M}::double as m from grid),
+rg as (select key, i, round(speed, 6) as speed, m, greatest(2, least(cast(floor(359.0::double * 120 / m + 0.5) as bigint), 359)) as win,
+  least(cast(floor(359.0::double * 700 / m + 0.5) as bigint), 359) as reach, least(cast(floor(359.0::double * 350 / m + 0.5) as bigint), 359) as brake from lp where i < 359),
+pd as (select *, i as j from rg union all select *, i - 359 from rg where i >= 359 - greatest(win, reach) union all select *, i + 359 from rg where i < win),
+pw as (select *, min(speed) over (w rows between win preceding and 1 preceding) as lob, min(speed) over (w rows between 1 following and win following) as loa,
+  list_reverse(list(speed) over (w rows between reach preceding and 1 preceding)) as back from pd window w as (partition by key order by j)),
 pm as (select *, list_position(list_transform(back, lambda v: v < speed), true) as cut from pw where i = j and lob >= speed and loa > speed),
 pr as (select *, case when coalesce(cut, 0) > 0 then list_slice(back, 1, cut) else back end as run from pm),
-corners as (select key, i as apex, speed, list_max(run) as peak, least(list_position(run, list_max(run)), {t.metres(350)}) as entry_steps from pr where list_max(run) - speed >= 20)"""
+corners as (select key, i as apex, speed, m, list_max(run) as peak, least(list_position(run, list_max(run)), brake) as entry_steps from pr where list_max(run) - speed >= 20)"""
 
 
 @query("w_25_speed_minima_corners", tel_sql(f"select key, apex, {R('speed', 4)} as vmin, {R('peak', 4)} as peak, cast(entry_steps as bigint) as entry_steps from corners", CORNER_SQL))
 def corners(c):
-    g = t.grid(c).withColumn("speed", F.round("speed", 6))
-    return t.speed_corners(g).select("key", "apex", rnd("speed", 4).alias("vmin"), rnd("peak", 4).alias("peak"), "entry_steps")
+    return t.speed_corners(t.even_speed(c)).select("key", "apex", rnd("speed", 4).alias("vmin"), rnd("peak", 4).alias("peak"), "entry_steps")
 
 
-@query("w_26_direction_change_corners")
+SMOOTH_SQL = """p1 as (select key, i, x, y, i + d as j from grid, (values (0), (-359), (359)) v(d) where i < 359 and (d = 0 or (d < 0 and i >= 356) or (d > 0 and i < 3))),
+s1 as (select key, i, j, avg(x) over w as x, avg(y) over w as y from p1 window w as (partition by key order by j rows between 3 preceding and 3 following)),
+p2 as (select key, i, x, y, i + d as j from (select * from s1 where i = j) s, (values (0), (-359), (359)) v(d) where d = 0 or (d < 0 and i >= 356) or (d > 0 and i < 3)),
+s2 as (select key, i, j, avg(x) over w as x, avg(y) over w as y from p2 window w as (partition by key order by j rows between 3 preceding and 3 following))"""
+
+
+def turn_sql(name: str, m: int) -> str:
+    """Turn between the points ``m`` metres behind and ahead, looked up by their number round the loop."""
+    k = f"greatest(1, least(cast(floor(359.0::double * {m} / c.m + 0.5) as bigint), 359))"
+    return f"""{name} as (select c.key, c.i, c.m, atan2(round(sin(b.h - a.h), 9) + 0.0, round(cos(b.h - a.h), 9) + 0.0) as turn from hd c
+  join hd a on a.key = c.key and a.i = (c.i - {k} + 359) % 359 join hd b on b.key = c.key and b.i = (c.i + {k}) % 359)"""
+
+
+SWEEP_SQL = ",\n".join([SMOOTH_SQL, """sr as (select key, i, round(x, 6) as x, round(y, 6) as y from s2 where i = j),
+hd as (select c.key, c.i, rg.m, atan2(b.y - a.y, b.x - a.x) as h from sr c join sr a on a.key = c.key and a.i = (c.i + 358) % 359
+  join sr b on b.key = c.key and b.i = (c.i + 1) % 359 join rg on rg.key = c.key and rg.i = c.i)""", turn_sql("t60", 60), """
+cd as (select key, i, turn, 359 * 220.0::double / m as gap from t60
+  where i % greatest(1, cast(floor(greatest(2, least(floor(359.0::double * 60 / m + 0.5), 359)) / 4.0::double + 0.5) as bigint)) = 0 and round(abs(turn), 6) > 0.6),
+cf as (select * from cd where not exists (select 1 from corners k where k.key = cd.key and least(abs(k.apex - cd.i), 359 - abs(k.apex - cd.i)) < cd.gap)),
+pk as (select key, min(i) as first, min(i) as last from cf group by key
+  union all
+  select pk.key, pk.first, min(cf.i) from pk join cf on cf.key = pk.key and cf.i - pk.last >= cf.gap and 359 - (cf.i - pk.first) >= cf.gap group by pk.key, pk.first, pk.last),
+sweeps as (select cf.key, cf.i as apex, turn from cf join pk on pk.key = cf.key and pk.last = cf.i)"""])
+
+
+def loop_sql(body: str, *ctes: str) -> str:
+    return tel_sql(body, CORNER_SQL, SWEEP_SQL, *ctes).replace("with ", "with recursive ", 1)
+
+
+@query("w_26_direction_change_corners", loop_sql(f"select key, apex, {R('turn', 4)} as turn from sweeps"))
 def sweeps(c):
-    return t.sweep_corners(t.grid(c))
+    g = t.even_speed(c)
+    return t.sweep_corners(t.turns(t.headings(g), {"turn60": 60}), t.speed_corners(g)).select("key", "apex", rnd("turn", 4).alias("turn"))
 
 
-@query("w_27_circular_average", tel_sql(f"select key, i, {R('x', 5)} as x, {R('y', 5)} as y from s2 where i = j",
-"p1 as (select key, i, x, y, i + d as j from grid, (values (0), (-359), (359)) v(d) where i < 359 and (d = 0 or (d < 0 and i >= 356) or (d > 0 and i < 3)))",
-"s1 as (select key, i, j, avg(x) over w as x, avg(y) over w as y from p1 window w as (partition by key order by j rows between 3 preceding and 3 following))",
-"p2 as (select key, i, x, y, i + d as j from (select * from s1 where i = j) s, (values (0), (-359), (359)) v(d) where d = 0 or (d < 0 and i >= 356) or (d > 0 and i < 3))",
-"s2 as (select key, i, j, avg(x) over w as x, avg(y) over w as y from p2 window w as (partition by key order by j rows between 3 preceding and 3 following))"))
+@query("w_27_circular_average", tel_sql(f"select key, i, {R('x', 5)} as x, {R('y', 5)} as y from s2 where i = j", SMOOTH_SQL))
 def circular(c):
     return t.smooth(t.grid(c), ["x", "y"]).select("key", "i", rnd("x", 5).alias("x"), rnd("y", 5).alias("y"))
 
 
-@query("g_08_corner_table")
+@query("g_08_corner_table", loop_sql(f"""select key, row_number() over (partition by key order by apex) as n, apex, kind, {R('vmin', 4)} as vmin,
+  {R('entry - floor(entry)', 5)} as entry, {R('apex / 359.0::double + 60.0::double / m - floor(apex / 359.0::double + 60.0::double / m)', 5)} as exit, {R('abs(t70.turn)', 4)} as angle,
+  case when round(abs(t70.turn), 6) > 0.3 then case when round(t70.turn, 9) >= 0 then 1 else -1 end when round(t15.turn, 9) >= 0 then 1 else -1 end as dir
+from cn join t70 using (key, apex) join t15 using (key, apex)""",
+    turn_sql("u70", 70), turn_sql("u15", 15), "t70 as (select key, i as apex, m, turn from u70), t15 as (select key, i as apex, turn from u15)",
+    """cn as (select key, apex, 'braking' as kind, speed as vmin, (apex - entry_steps) / 359.0::double as entry from corners
+  union all select rg.key, apex, 'sweep', rg.speed, apex / 359.0::double - 150.0::double / m from sweeps join rg on rg.key = sweeps.key and rg.i = apex)"""))
 def corner_table(c):
     """Braking-zone corners and flat-out sweeps numbered round the lap."""
-    a = t.speed_corners(t.grid(c)).select("key", "apex", F.lit("braking").alias("kind"), F.col("speed").alias("vmin"))
-    b = t.sweep_corners(t.grid(c)).select("key", "apex", F.lit("sweep").alias("kind"), F.lit(None).cast("double").alias("vmin"))
-    w = Window.partitionBy("key").orderBy("apex")
-    return a.unionByName(b).select("key", F.row_number().over(w).alias("n"), "apex", "kind", "vmin")
+    return t.corner_table(t.even_speed(c)).select("key", "n", "apex", "kind", rnd("vmin", 4).alias("vmin"), rnd("entry", 5).alias("entry"),
+                                                      rnd("exit", 5).alias("exit"), rnd("angle", 4).alias("angle"), "dir")
