@@ -2,8 +2,8 @@
 
 Centroids are fitted to a bounded sample and kept in memory in a neighbour graph. Every vector goes to the list of its nearest
 centroid, and a vector near a boundary to several lists. A query searches the graph for near centroids, prunes them by the ratio
-of their distance to the nearest one's, and scans the lists that stay. Long lists are cut into parts, so no task holds
-more than PART vectors of a list, and equal vectors are one entry with their smallest ids.
+of their distance to the nearest one's, and scans the lists that stay. Long lists are cut into parts, and so are the queries that
+meet at a list, so no task holds more than about PART vectors and PART queries; equal vectors are one entry with their smallest ids.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ LIST = 100  # vectors per list, as far as MOST_LISTS goes
 MOST_LISTS = 2048  # centroids of all tasks' graph: 0.5 MB at 64 dimensions
 REPLICAS, NEAR = 4, 1.12  # a vector is kept in up to REPLICAS lists whose distance is within NEAR times the nearest
 PROBES, PRUNE = 96, 1.35  # a query scans up to PROBES lists whose distance is within PRUNE times the nearest
-PART = 20_000  # vectors of a list in one task
+PART = 20_000  # vectors of a list, and queries to it, in one task
 LINKS, FAR_LINKS, BEAM = 20, 4, 128
 
 
@@ -189,8 +189,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
     stored = entries.select("k1", "v", "ids").mapInArrow(lambda it: placed(it, REPLICAS, NEAR, 32, False), "list bigint, k1 bigint, v array<double>, ids array<bigint>")
     stored = save(stored, "postings")
     sizes = {r["list"]: r["n"] for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
-    parts = spark.createDataFrame([(int(c), -(-s // PART)) for c, s in sizes.items()], "list bigint, parts bigint")
-    stored = stored.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("k1"), "parts").alias("part"), "v", "ids")
     asked = save(usable(queries).distinct(), "queries")
     wanted = min(k, rows.select("vec_id").distinct().count() - 1)
 
@@ -203,13 +201,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "ids": pa.array([f[1] for f in found], pa.list_(pa.int64())), "scores": pa.array([f[2] for f in found], pa.list_(pa.float64()))})
 
     def run(routed: DataFrame) -> DataFrame:
-        routed = routed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "vec_id", "v")
-        hits = stored.groupBy("list", "part").cogroup(routed.groupBy("list", "part")).applyInArrow(scan, "query_id bigint, ids array<bigint>, scores array<double>")
+        asks = {r["list"]: r["n"] for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
+        cut = F.broadcast(spark.createDataFrame([(int(c), -(-sizes[c] // PART), -(-n // PART)) for c, n in asks.items() if c in sizes], "list bigint, parts bigint, blocks bigint"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        here = stored.join(cut, "list").select("list", F.pmod(F.xxhash64("k1"), "parts").alias("part"), upto("blocks").alias("block"), "v", "ids")
+        there = routed.join(cut, "list").select("list", upto("parts").alias("part"), F.pmod(F.xxhash64(F.lit("q"), "vec_id"), "blocks").alias("block"), "vec_id", "v")
+        hits = here.groupBy("list", "part", "block").cogroup(there.groupBy("list", "part", "block")).applyInArrow(scan, "query_id bigint, ids array<bigint>, scores array<double>")
         h = hits.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score")).distinct()
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return h.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
-    routed = asked.mapInArrow(lambda it: placed(it, PROBES, PRUNE, BEAM, True), "list bigint, vec_id bigint, v array<double>")
+    routed = save(asked.mapInArrow(lambda it: placed(it, PROBES, PRUNE, BEAM, True), "list bigint, vec_id bigint, v array<double>"), "routed")
     got = save(run(routed), "found")
     short = asked.join(got.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     short = save(short, "short")
