@@ -14,6 +14,14 @@ STRENGTH_MIN, STRENGTH_MAX = 2.0, 200.0  # bounds of a prior's weight, in pages
 ROOT = (0.5, 0.5)  # Jeffreys prior of a bad outcome, above all suffixes
 Z, BAD = 1.0, 0.5  # a host is blocked when its posterior mean less Z deviations is over BAD
 BROADCAST_ROWS = 100_000  # suffix or domain rows sent to every task; more are shuffled
+SHARE = 1000  # a host with over 1/SHARE of all pages is split when pages meet reputations; at most SHARE hosts are
+
+# Common public suffixes of two labels.
+SUFFIXES = ("ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
+            "com.co", "com.hk", "com.mx", "com.my", "com.pe", "com.ph", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au",
+            "gov.br", "gov.cn", "gov.in", "gov.uk", "govt.nz", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn",
+            "org.nz", "org.uk", "org.za")
+IP = r"^(\[.*|[0-9]+([.][0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
@@ -25,8 +33,14 @@ def path_of(url: Column) -> Column:
 
 
 def levels(host: Column) -> list[Column]:
-    """Registered domain (the last two labels) and suffix (the last one)."""
-    return [F.substring_index(host, ".", -2).alias("domain"), F.substring_index(host, ".", -1).alias("suffix")]
+    """Registered domain and suffix, without a port. A suffix is one of SUFFIXES or the last label, a domain has one label more;
+    an IP address is its own domain and suffix."""
+    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    two = F.substring_index(bare, ".", -2)
+    listed = two.isin(*SUFFIXES)
+    domain = F.when(bare.rlike(IP), bare).when(listed, F.substring_index(bare, ".", -3)).otherwise(two)
+    suffix = F.when(bare.rlike(IP), bare).when(listed, two).otherwise(F.substring_index(bare, ".", -1))
+    return [domain.alias("domain"), suffix.alias("suffix")]
 
 
 def ruled(host: Column, path: Column, rules=RULES) -> Column:
@@ -79,6 +93,20 @@ def bound(a: Column, b: Column, z: float = Z) -> Column:
     return a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
 
 
+def meet(p: DataFrame, rep: DataFrame) -> DataFrame:
+    """``p`` with the columns of ``rep`` (one row per host); pages of a host with over 1/SHARE of all go to several tasks.
+
+    At most SHARE hosts hold so much, so the table of them is small whatever the input. A page's part is its place in the scan.
+    """
+    counts = p.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))  # map-side: a row per host and task
+    total = p.count()
+    hot = F.broadcast(counts.where(F.col("_n") * SHARE > total).select("host", F.ceil(F.col("_n") * SHARE / F.lit(max(total, 1))).alias("_meet_parts")))
+    parts = F.coalesce("_meet_parts", F.lit(1).cast("bigint"))
+    pages = p.withColumn("_meet_at", F.monotonically_increasing_id()).join(hot, "host", "left").withColumn("_meet_part", F.pmod("_meet_at", parts)).drop("_meet_at", "_meet_parts")
+    copies = rep.join(hot, "host", "left").withColumn("_meet_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_meet_parts")
+    return pages.join(copies, ["host", "_meet_part"], "left").drop("_meet_part")
+
+
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, bad: float = BAD) -> DataFrame:
     """``pages`` with host, path, rule, verdict and bad_bound; clashing columns are replaced.
 
@@ -94,7 +122,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, bad:
     once = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.ceil(F.avg("bad")).alias("bad"))
     rep = reputation(p.select("page_id", "host").distinct().join(once, "page_id").select("host", "bad"))
     rep = rep.select("host", bound(F.col("a"), F.col("b"), z).alias("bad_bound"))
-    j = p.join(rep, "host", "left").withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
+    j = meet(p, rep).withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
     return j.select(*keep, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(
         F.col("_r.action"), F.when(F.col("bad_bound") > bad, "block").otherwise("allow")).alias("verdict"), "bad_bound")
 
@@ -105,15 +133,19 @@ def label_outcomes(labels: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-with p as (
+with sfx(two) as (values {SUFFIXES}),
+p as (
   select page_id,
     case when contains(url, '://') then translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
     case when contains(url, '://') then regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) else '' end as path
   from pages),
 lab as (select doc_id as page_id, ceil(avg(case when quality = 0 or toxic = 1 then 1 when quality is not null then 0 end)) as bad from labels where doc_id is not null group by 1),
-h as (select host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, list_extract(string_split(host, '.'), -1) as suffix,
-        cast(count(*) as double) as n, cast(sum(bad) as double) as bad
-      from (select distinct page_id, host from p) join lab using (page_id) where bad is not null and host <> '' group by 1, 2, 3),
+hh as (select host, cast(count(*) as double) as n, cast(sum(bad) as double) as bad, regexp_replace(host, ':[0-9]*$', '') as bare
+      from (select distinct page_id, host from p) join lab using (page_id) where bad is not null and host <> '' group by 1),
+hl as (select *, regexp_matches(bare, '^(\[.*|[0-9]+([.][0-9]+){3})$') as ip, string_split(bare, '.') as labels from hh),
+hs as (select *, array_to_string(labels[-2:], '.') as two, array_to_string(labels[-2:], '.') in (select two from sfx) as listed from hl),
+h as (select host, n, bad, case when ip then bare when listed then array_to_string(labels[-3:], '.') else two end as domain,
+        case when ip then bare when listed then two else labels[-1] end as suffix from hs),
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by 1, 2),
 s as (select suffix, (sum(bad) + 0.5e0) / (sum(n) + 1e0) as m from d group by 1),
 sg as (select suffix, m, sum(n * (bad / n - m) * (bad / n - m)) as ss, sum(n) as n, count(*) as k from d join s using (suffix) group by 1, 2),
@@ -136,7 +168,7 @@ select page_id, host, path, rule,
   case rule when 'net/' then 'block' when 'example.net/en/' then 'allow' when 'example.com/de/' then 'block' when 'org/fr/' then 'allow'
        else case when bad_bound > 0.5 then 'block' else 'allow' end end as verdict
 from r left join rep using (host)
-"""
+""".replace("{SUFFIXES}", ", ".join(f"('{x}')" for x in SUFFIXES))
 
 
 @query("op6_url_reputation", SQL)

@@ -166,6 +166,40 @@ def test_urls(spark):
     assert urlrep.judge(pages.limit(0), urlrep.label_outcomes(labels.limit(0))).count() == 0
 
 
+def test_reputation_keeps_suffixes_ports_and_addresses_apart_and_splits_hot_hosts(spark):
+    import duckdb
+    hosts = ["spam.co.uk", "a.spam.co.uk", "nice.co.uk", "co.uk", "10.0.0.1", "10.0.0.2:8080", "[::1]:80", "shop.io:81", "shop.io", "b.shop.io", "x", "x.com.au", "deep.y.x.com.au"]
+    want = [("spam.co.uk", "co.uk"), ("spam.co.uk", "co.uk"), ("nice.co.uk", "co.uk"), ("co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.2", "10.0.0.2"), ("[::1]", "[::1]"),
+            ("shop.io", "io"), ("shop.io", "io"), ("shop.io", "io"), ("x", "x"), ("x.com.au", "com.au"), ("x.com.au", "com.au")]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in df.select("host", *urlrep.levels(F.col("host"))).collect()} == dict(zip(hosts, want))
+    r = np.random.default_rng(2)
+    h = r.choice(len(hosts) + 1, 4000, p=[0.4] + [0.6 / len(hosts)] * len(hosts))
+    rows = [(i, f"http://{'hot.co.uk' if k == 0 else hosts[k - 1]}/p") for i, k in enumerate(h)] + [(7, "http://hot.co.uk/p")] * 500
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"_part": F.lit(1), "_n": F.lit("x"), "_parts": F.lit(2)})
+    labels = [(i, int(r.random() < 0.7 - 0.04 * h[i]), 0) for i in range(0, 4000, 2)]
+    got = urlrep.judge(pages, urlrep.label_outcomes(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert got.columns[:5] == ["page_id", "url", "_part", "_n", "_parts"]
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url").toPandas())
+    con.execute("create table labels(doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into labels values (?, ?, ?)", labels)
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, con.execute(f"select {', '.join(cols)} from ({urlrep.SQL})").fetchall()))
+    assert got.select("verdict").distinct().count() == 2
+    p = pages.select("page_id", F.lit("hot").alias("host"))
+    met = urlrep.meet(p, spark.createDataFrame([("hot", 0.5)], "host string, bad_bound double"))
+    assert met.count() == 4500 and met.where("bad_bound is null").isEmpty()
+
+
+def test_queries_of_a_list_in_blocks_find_the_same(spark, monkeypatch):
+    x = np.random.default_rng(11).normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, postings.search(df, df.where("vec_id % 5 = 0")).collect()))
+    monkeypatch.setattr(postings, "PART", 40)
+    assert sorted(map(tuple, postings.search(df, df.where("vec_id % 5 = 0")).collect())) == one
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     centers = r.normal(size=(40, 16))
