@@ -9,18 +9,20 @@ UNB = Window.unboundedPreceding
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, cols: list[str],
-              direction: str = "backward", bucket: int | None = None, tie: str | None = None) -> DataFrame:
+              direction: str = "backward", bucket: int | None = None, tie: str | None = None,
+              parts: int | None = None) -> DataFrame:
     """Attach to each left row the nearest earlier (or later, or nearest) right reading of its group.
 
     Backward is inclusive; nearest breaks distance ties towards the earlier
     reading. With ``bucket`` (width in units of the integer time) each window
     covers one time bucket and the reading carried in from other buckets comes
-    from a per-bucket summary, so a group of any size is spread over tasks.
+    from a per-bucket summary, so a group of any size is spread over tasks. With
+    ``parts`` rows are dealt by ``by`` into that many partitions and stay there.
     """
     if direction == "nearest":
-        back = asof_join(left, right, by, left_t, right_t, cols + [right_t], "backward", bucket, tie)
+        back = asof_join(left, right, by, left_t, right_t, cols + [right_t], "backward", bucket, tie, parts)
         back = back.select(*left.columns, F.struct(*[F.col(f"asof_{c}").alias(c) for c in cols + [right_t]]).alias("_b"))
-        both = asof_join(back, right, by, left_t, right_t, cols + [right_t], "forward", bucket, tie)
+        both = asof_join(back, right, by, left_t, right_t, cols + [right_t], "forward", bucket, tie, parts)
         db = F.col(left_t) - F.col(f"_b.{right_t}")
         df_ = F.col(f"asof_{right_t}") - F.col(left_t)
         use_b = db.isNotNull() & (df_.isNull() | (db <= df_))
@@ -36,6 +38,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, rig
     l = left.select(*by, F.col(left_t).alias("_t"), F.lit(1 if back else 0).alias("_side"), lrow.alias("_l"),
                     F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.lit(0).cast("bigint").alias("_o"))
     u = l.unionByName(r)
+    if parts and not bucket:
+        u = u.repartition(parts, *by)
     part = list(by)
     if bucket:
         u = u.withColumn("_bk", F.floor(F.col("_t") / bucket))
@@ -54,4 +58,5 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, rig
         carry = per.select(*part, F.last("_s", ignorenulls=True).over(wb).alias("_carry"))
         m = m.join(carry, part, "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
     return (m.filter(F.col("_l").isNotNull())
-            .select("_l.*", *[F.col(f"_hit.{c}" if c != right_t else "_hit._rt").alias(f"asof_{c}") for c in cols]))
+            # the keys themselves, not their copies, so that Spark knows how the rows are dealt
+            .select(*[F.col(c) if c in by else F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_hit.{c}" if c != right_t else "_hit._rt").alias(f"asof_{c}") for c in cols]))

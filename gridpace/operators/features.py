@@ -24,7 +24,7 @@ def status_flags(status: Column) -> dict[str, Column]:
 def attach_weather(ctx, laps: DataFrame) -> DataFrame:
     """Latest reading at or before the start of each lap; null before the first reading."""
     out = asof_join(laps, ctx.weather, ["race_no"], "start_us", "wt_us", ["track_temp", "air_temp", "rainfall"],
-                    bucket=WEATHER_BUCKET_US if ctx.shape.blocked else None)
+                    bucket=WEATHER_BUCKET_US if ctx.shape.blocked else None, parts=ctx.parts)
     return (out.withColumnsRenamed({"asof_track_temp": "track_temp_raw", "asof_air_temp": "air_temp_raw"})
             .withColumn("rainfall", F.coalesce("asof_rainfall", F.lit(False))).drop("asof_rainfall"))
 
@@ -52,6 +52,8 @@ def representative(df: DataFrame) -> Column:
 
 def prepare(ctx, laps: DataFrame) -> DataFrame:
     df = attach_weather(ctx, laps)
+    if "lap_time" not in df.columns:
+        df = df.withColumn("lap_time", F.col("lap_us") / F.lit(1e6))
     df = df.withColumns(status_flags(F.col("track_status")))
     df = (df.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
           .withColumn("age", F.greatest(F.coalesce("tyre_life", F.lit(1)), F.lit(1)).cast("bigint"))

@@ -23,6 +23,7 @@ class LapShape:
     n_races: int
     max_car_laps: int
     block_laps: int
+    n_laps: int = 0
 
     @property
     def blocked(self) -> bool:
@@ -37,8 +38,8 @@ def _lines(ctx) -> DataFrame:
 def lap_shape(ctx, block_laps: int | None = None) -> LapShape:
     """One cheap, map-side-combined count: how long is the longest lap series?"""
     n = _lines(ctx).groupBy(*CAR).count()
-    r = n.agg(F.max("race_no"), F.max("count")).first()
-    return LapShape(int(r[0]) + 1, int(r[1]), block_laps or BLOCK_LAPS)
+    r = n.agg(F.max("race_no"), F.max("count"), F.sum("count")).first()
+    return LapShape(int(r[0]) + 1, int(r[1]), block_laps or BLOCK_LAPS, int(r[2]))
 
 
 def _numbered(lines: DataFrame, blocked: bool) -> DataFrame:
@@ -64,7 +65,7 @@ def lap_view(ctx) -> DataFrame:
         laps = _numbered(lines, True).join(cars, CAR)
     else:
         # every race is small: one shuffle by race serves all the windows below
-        laps = (_numbered(lines.repartition("race_no"), False)
+        laps = (_numbered(lines.repartition(ctx.parts, "race_no"), False)
                 .withColumn("drv_laps", F.count(F.lit(1)).over(Window.partitionBy(*CAR)))
                 .withColumn("race_laps", F.max("drv_laps").over(Window.partitionBy("race_no"))))
     laps = (laps
@@ -95,18 +96,26 @@ def lap_view(ctx) -> DataFrame:
         "end_us", F.col("start_us") + F.col("lap_us"))
     # at most one row per car on a given lap, so this window is small
     pos = Window.partitionBy("race_no", "lap").orderBy("end_us", "drv")
-    return laps.select(
-        "race_no", F.expr("concat(2021 + race_no % 5, '_', lpad(cast(race_no div 5 + 1 as string), greatest(3, length(cast(race_no div 5 + 1 as string))), '0'))").alias("race_id"),
-        F.expr("race_no div 5 + 1").alias("round_no"), F.expr("concat('C', race_no % 12)").alias("circuit"),
-        "race_laps", "drv", F.expr("concat('D', drv)").alias("driver"), F.expr("concat('T', drv div 2)").alias("team"),
-        "drv_laps", "lap", "stint", F.row_number().over(pos).cast("bigint").alias("position"),
-        "lap_us", "start_us", "end_us", (F.col("lap_us") / F.lit(1e6)).alias("lap_time"),
-        (F.col("start_us") / F.lit(1e6)).alias("t_start"), (F.col("end_us") / F.lit(1e6)).alias("t_end"),
-        "pit_in", "pit_out", "compound", F.col("age").alias("tyre_life"), F.expr("cents % 5 <> 0").alias("fresh_tyre"),
-        F.expr("not (pit_in or pit_out)").alias("is_accurate"), F.expr("cents % 97 = 0").alias("deleted"),
-        "track_status", F.expr("""case when drv_laps = race_laps then 'Finished'
-            when race_laps - drv_laps <= 5 then concat('+', race_laps - drv_laps, ' Laps') else 'Retired' end""").alias("finish_status"),
-        "cents", "blk", F.expr("2021 + race_no % 5").alias("year"))
+    laps = laps.select(*CAR, "race_laps", "drv_laps", "lap", "stint", F.row_number().over(pos).cast("bigint").alias("position"), "lap_us", "start_us", "end_us",
+                       "pit_in", "pit_out", "compound", F.col("age").alias("tyre_life"), F.expr("cents % 97 = 0").alias("deleted"), "track_status", "cents", "blk")
+    return labelled(laps)
+
+
+# columns of the lap view that follow from the others of the same row
+LABELS = {
+    "race_id": "concat(2021 + race_no % 5, '_', lpad(cast(race_no div 5 + 1 as string), greatest(3, length(cast(race_no div 5 + 1 as string))), '0'))",
+    "round_no": "race_no div 5 + 1", "circuit": "concat('C', race_no % 12)", "driver": "concat('D', drv)", "team": "concat('T', drv div 2)",
+    "lap_time": "lap_us / 1e6D", "t_start": "start_us / 1e6D", "t_end": "end_us / 1e6D", "fresh_tyre": "cents % 5 <> 0", "is_accurate": "not (pit_in or pit_out)",
+    "finish_status": """case when drv_laps = race_laps then 'Finished'
+            when race_laps - drv_laps <= 5 then concat('+', race_laps - drv_laps, ' Laps') else 'Retired' end""",
+    "year": "2021 + race_no % 5"}
+VIEW = ["race_no", "race_id", "round_no", "circuit", "race_laps", "drv", "driver", "team", "drv_laps", "lap", "stint", "position", "lap_us", "start_us", "end_us", "lap_time",
+        "t_start", "t_end", "pit_in", "pit_out", "compound", "tyre_life", "fresh_tyre", "is_accurate", "deleted", "track_status", "finish_status", "cents", "blk", "year"]
+
+
+def labelled(laps: DataFrame) -> DataFrame:
+    """The lap view's columns, then any others."""
+    return laps.select(*[F.expr(LABELS[c]).alias(c) if c in LABELS else c for c in VIEW], *[c for c in laps.columns if c not in VIEW])
 
 
 def weather_view(ctx) -> DataFrame:
