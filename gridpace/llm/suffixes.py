@@ -28,6 +28,7 @@ COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31  # every difference modulo 31 is one of
 BUCKET_RUNS = 1 << 17  # runs per bucket if all text were repeated
 HOT = 1 << 14  # an anchor with as many occurrences has its windows dealt out one by one, by their hashes
 SEGMENT = 1 << 19
+ROWS = 1 << 12  # strings that are laid out at a time
 U = np.uint64
 
 
@@ -92,6 +93,16 @@ def window_hashes(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def aligned(body: np.ndarray, begin: np.ndarray, length: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes with the string of ``length`` from ``begin`` at ``column``; ROWS at a time, as indices take 8 bytes for each byte."""
+    rows = np.zeros((length.size, width), np.uint8)
+    for i in range(0, length.size, ROWS):
+        n = length[i: i + ROWS]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rows[i: i + ROWS][np.repeat(np.arange(n.size), n), np.repeat(column[i: i + ROWS], n) + within] = body[np.repeat(begin[i: i + ROWS], n) + within]
+    return rows
+
+
 def cover_ranks(rows: np.ndarray, length: int, columns: range) -> dict[int, np.ndarray]:
     """For every cover position among ``columns``: the rank of each row's string of ``length`` from there."""
     out = {}
@@ -283,9 +294,7 @@ def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT, in_place:
         begin = (np.cumsum(length) - length)[order]
         doc, at, pos, who, length, offset = (x[order] for x in (doc, at, pos, who, length, offset))
         width = 2 * lead + GRAM + 2
-        rows = np.zeros((doc.size, width), np.uint8)
-        within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        rows[np.repeat(np.arange(doc.size), length), np.repeat(lead - offset, length) + within] = body[np.repeat(begin, length) + within]
+        rows = aligned(body, begin, length, lead - offset, width)
         rows[:, -2], rows[:, -1] = length, offset
         code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).dictionary_encode().indices.to_numpy()
         _, one = np.unique(code, return_index=True)  # codes count up by first appearance, so these are in order
