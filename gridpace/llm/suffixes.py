@@ -27,7 +27,7 @@ GRAM = 24  # bytes of an anchor
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31  # every difference modulo 31 is one of two members
 BUCKET_RUNS = 1 << 17  # runs per bucket if all text were repeated
 HOT = 1 << 14  # an anchor with as many occurrences has its windows dealt out one by one, by their hashes
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18  # bytes hashed at a time
 ROWS = 1 << 12  # strings that are laid out at a time
 U = np.uint64
 
@@ -58,11 +58,10 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 def anchored(data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows inside documents that share an anchor: first start, number, place of the anchor, its hash."""
     span, size = window - GRAM + 1, data.size
-    inside = np.zeros(size + 1, np.int32)
+    inside = np.zeros(size, bool)
     fits = off[1:] - off[:-1] >= window
-    np.add.at(inside, off[:-1][fits], 1)
-    np.add.at(inside, off[1:][fits] - window + 1, -1)
-    inside = np.cumsum(inside[:-1], dtype=np.int32) > 0
+    for a, b in zip(off[:-1][fits], off[1:][fits]):
+        inside[a: b - window + 1] = True
     out = [[], [], [], []]
     for a in range(0, size - window + 1, SEGMENT):
         b = min(a + SEGMENT, size - window + 1)
@@ -147,6 +146,20 @@ def repeated(rows: np.ndarray, offset: np.ndarray, length: np.ndarray, doc: np.n
     return flags
 
 
+def covered(size: int, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of ``size`` bytes lie under any of the strings."""
+    depth = np.zeros(size + 1, np.int32)
+    np.add.at(depth, pos, 1)
+    np.add.at(depth, pos + length, -1)
+    np.cumsum(depth, out=depth)
+    return depth[:-1] > 0
+
+
+def flags_in(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags each slice has; no running sum, which would take 8 bytes for each flag."""
+    return np.fromiter((np.count_nonzero(flags[a:b]) for a, b in zip(off[:-1], off[1:])), np.int64, off.size - 1)
+
+
 def flag_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first column and length of every run of set flags."""
     d = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -236,13 +249,14 @@ def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT, in_place:
                 again.append(a), n_again.append(n[i])
             else:
                 lone.append(i)
+        del seen  # before the strings are copied once more
         if lone:
             i = np.array(lone)
             i = i[np.argsort(pk.bucket_of(h[i], buckets), kind="stable")]
             bucket, cut = slices(pk.bucket_of(h[i], buckets))
-            pieces = [raw[first[x]: first[x] + n[x] + window - 1] for x in i]
             at = np.append(0, np.cumsum(n[i] + window - 1))
-            body = pk.binary(np.frombuffer(b"".join(pieces), np.uint8), at[cut])
+            joined = b"".join(raw[first[x]: first[x] + n[x] + window - 1] for x in i)
+            body = pk.binary(np.frombuffer(joined, np.uint8), at[cut])
             parts.append(sent(chunk, bucket, cut, body=body, len=(n[i] + window - 1).astype(np.uint8), off=(place[i] - first[i]).astype(np.uint8), doc=doc[doc_of[i]],
                               start=(place[i] - off[doc_of[i]]).astype(np.uint32), pos=first[i].astype(np.uint32)))
         # windows of very common anchors: each by its own hash
@@ -313,26 +327,23 @@ def removal(docs: DataFrame, window: int = WINDOW, common: int = HOT, in_place:
     def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
         t = pk.in_order(t) if t.num_rows else t
         data, off = pk.text_bytes(t.column("text"))
-        gone = np.zeros(data.size + 1, np.int32)
+        gone = np.zeros(data.size, bool)
         if repeats.num_rows and t.num_rows:
             pos, n = (pk.unbinary(repeats.column(c), np.uint32)[0].astype(np.int64) for c in ("pos", "n"))
-            np.add.at(gone, pos, 1)
-            np.add.at(gone, pos + n + window - 1, -1)
-        gone = np.cumsum(gone, dtype=np.int32)[:-1] > 0
+            gone = covered(data.size, pos, n + window - 1)
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         inner = off[(off > 0) & (off < data.size)]
         head[inner] = gone[inner]
-        n_gone, n_head = np.append(0, np.cumsum(gone))[off], np.append(0, np.cumsum(head))[off]
-        kept = np.append(0, np.cumsum(~gone))[off]
-        held = pk.binary(data[~gone], kept)
+        n_gone, n_head = flags_in(gone, off), flags_in(head, off)
+        held = pk.binary(data[~gone], np.append(0, np.cumsum(np.diff(off) - n_gone)))
         out = t.select(cols)
         if in_place:
             text = [b.as_py().decode("utf-8", "ignore") if x.is_valid else None for b, x in zip(held, t.column("text"))]
             held = pa.array([b""] * len(held), pa.binary())
             out = out.set_column(cols.index("text"), "text", pa.array(text, pa.string()))
-        out = out.append_column("n_bytes", pa.array(np.diff(off), pa.int64())).append_column("n_removed", pa.array(np.diff(n_gone), pa.int64()))
-        return out.append_column("n_spans", pa.array(np.diff(n_head), pa.int64())).append_column("kept_bytes", held)
+        out = out.append_column("n_bytes", pa.array(np.diff(off), pa.int64())).append_column("n_removed", pa.array(n_gone))
+        return out.append_column("n_spans", pa.array(n_head)).append_column("kept_bytes", held)
 
     by_chunk = dealt.groupBy("_chunk")
     counted = by_chunk.applyInArrow(anchors, "bucket bigint, chunk bigint, h binary, n binary").groupBy("bucket").applyInArrow(counts, "bucket bigint, chunk bigint, h binary, hot binary")

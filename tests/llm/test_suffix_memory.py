@@ -4,7 +4,7 @@ import tracemalloc
 
 import numpy as np
 
-from gridpace.llm.suffixes import aligned
+from gridpace.llm.suffixes import aligned, anchored, covered, flags_in
 
 
 def test_layout_is_bounded_and_right():
@@ -21,3 +21,29 @@ def test_layout_is_bounded_and_right():
         want = np.zeros(178, np.uint8)
         want[column[i]: column[i] + length[i]] = body[begin[i]: begin[i] + length[i]]
         assert (rows[i] == want).all()
+
+
+def peak(run):
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_a_chunk_takes_few_bytes_for_each_of_its_own():
+    rng = np.random.default_rng(6)
+    size = 6 << 20
+    data = rng.integers(0, 256, size, dtype=np.uint8)
+    off = np.unique(np.append(rng.integers(0, size, 2_000), (0, size)))
+    pos, length = rng.integers(0, size - 300, 500), rng.integers(100, 300, 500)
+    gone, most = peak(lambda: covered(size, pos, length))
+    assert most < 6 * size
+    want = np.zeros(size, bool)
+    for a, n in zip(pos, length):
+        want[a: a + n] = True
+    assert (gone == want).all()
+    n, most = peak(lambda: flags_in(gone, off))
+    assert most < 1 << 20 and n.tolist() == [int(want[a:b].sum()) for a, b in zip(off[:-1], off[1:])]
+    _, most = peak(lambda: anchored(data, off, 100))
+    assert most < 7 * size
