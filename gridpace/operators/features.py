@@ -9,6 +9,7 @@ from gridpace.constants import DEFAULT_TRACK_TEMP, DRY, REF_LAP, START_FUEL_KG
 from gridpace.operators.asof import asof_join
 from gridpace.operators.quantile import group_quantile
 from gridpace.operators.scan import running
+from gridpace.sources.lapview import weather_view
 
 CAR = ["race_no", "drv"]
 WEATHER_BUCKET_US = 1_800_000_000  # half an hour of session clock per window when a race is huge
@@ -21,10 +22,10 @@ def status_flags(status: Column) -> dict[str, Column]:
     return {"green": s.rlike("^1+$"), "sc": sc, "vsc": s.rlike("6|7") & ~sc, "red": s.contains("5")}
 
 
-def attach_weather(ctx, laps: DataFrame) -> DataFrame:
-    """Latest reading at or before the start of each lap; null before the first reading."""
-    out = asof_join(laps, ctx.weather, ["race_no"], "start_us", "wt_us", ["track_temp", "air_temp", "rainfall"],
-                    bucket=WEATHER_BUCKET_US if ctx.shape.blocked else None, parts=ctx.parts)
+def attach_weather(ctx, laps: DataFrame, dealt: bool = False) -> DataFrame:
+    """Latest reading at or before the start of each lap; null before the first reading. Laps that are ``dealt`` by race stay where they are."""
+    out = asof_join(laps, weather_view(ctx, dealt=True) if dealt else ctx.weather, ["race_no"], "start_us", "wt_us", ["track_temp", "air_temp", "rainfall"],
+                    bucket=WEATHER_BUCKET_US if ctx.shape.blocked else None, parts=None if dealt else ctx.parts)
     return (out.withColumnsRenamed({"asof_track_temp": "track_temp_raw", "asof_air_temp": "air_temp_raw"})
             .withColumn("rainfall", F.coalesce("asof_rainfall", F.lit(False))).drop("asof_rainfall"))
 
@@ -50,8 +51,8 @@ def representative(df: DataFrame) -> Column:
             & (F.col("lap") > 1) & ~F.col("deleted") & F.col("lap_time").isNotNull() & ~F.col("rainfall"))
 
 
-def prepare(ctx, laps: DataFrame) -> DataFrame:
-    df = attach_weather(ctx, laps)
+def prepare(ctx, laps: DataFrame, dealt: bool = False) -> DataFrame:
+    df = attach_weather(ctx, laps, dealt)
     if "lap_time" not in df.columns:
         df = df.withColumn("lap_time", F.col("lap_us") / F.lit(1e6))
     df = df.withColumns(status_flags(F.col("track_status")))

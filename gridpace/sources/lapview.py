@@ -56,6 +56,11 @@ def _numbered(lines: DataFrame, blocked: bool) -> DataFrame:
 
 
 def lap_view(ctx) -> DataFrame:
+    return labelled(bare_laps(ctx))
+
+
+def bare_laps(ctx) -> DataFrame:
+    """The lap view without the columns that follow from others; short races are dealt by race."""
     shape = ctx.shape
     blk = "blk" if shape.blocked else None
     lines = _lines(ctx)
@@ -96,9 +101,8 @@ def lap_view(ctx) -> DataFrame:
         "end_us", F.col("start_us") + F.col("lap_us"))
     # at most one row per car on a given lap, so this window is small
     pos = Window.partitionBy("race_no", "lap").orderBy("end_us", "drv")
-    laps = laps.select(*CAR, "race_laps", "drv_laps", "lap", "stint", F.row_number().over(pos).cast("bigint").alias("position"), "lap_us", "start_us", "end_us",
+    return laps.select(*CAR, "race_laps", "drv_laps", "lap", "stint", F.row_number().over(pos).cast("bigint").alias("position"), "lap_us", "start_us", "end_us",
                        "pit_in", "pit_out", "compound", F.col("age").alias("tyre_life"), F.expr("cents % 97 = 0").alias("deleted"), "track_status", "cents", "blk")
-    return labelled(laps)
 
 
 # columns of the lap view that follow from the others of the same row
@@ -118,11 +122,13 @@ def labelled(laps: DataFrame) -> DataFrame:
     return laps.select(*[F.expr(LABELS[c]).alias(c) if c in LABELS else c for c in VIEW], *[c for c in laps.columns if c not in VIEW])
 
 
-def weather_view(ctx) -> DataFrame:
-    """One reading per (race, instant): the latest event wins where two share a microsecond."""
+def weather_view(ctx, dealt: bool = False) -> DataFrame:
+    """One reading per (race, instant): the latest event wins where two share a microsecond. ``dealt``: by race, as the laps of short races are."""
     ev = ctx.table("events").select(
         (F.col("event_id") % ctx.shape.n_races).alias("race_no"), "event_id", "value",
         F.expr("timestampdiff(microsecond, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div 432").alias("wt_us"))
+    if dealt:
+        ev = ev.repartition(ctx.parts, "race_no")
     return (ev.groupBy("race_no", "wt_us").agg(F.max_by("value", "event_id").alias("value"))
             .select("race_no", "wt_us", (F.col("wt_us") / F.lit(1e6)).alias("wt"),
                     F.expr("round(25 + value % 20, 2)").alias("track_temp"), F.expr("round(18 + value % 10, 2)").alias("air_temp"),
