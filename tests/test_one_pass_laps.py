@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gridpace.operators.backtest import forecast_rows
 from gridpace.operators.features import prepare
+from gridpace.operators.pit import control_rows, measured_stops
 from gridpace.registry import Context
 from gridpace.sources.lapview import LABELS, bare_laps, labelled
 
@@ -37,3 +39,31 @@ def test_lines_and_readings_are_dealt_once(spark, made):
     plan = labelled(prepare(c, bare_laps(c), dealt=True))._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert len(dealt) == 2 and all(x.startswith("race_no") and "wt_us" not in x for x in dealt)
+
+
+def exchanges(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_gaps_of_short_races_take_one_shuffle(spark, made):
+    dealt = exchanges(control_rows(Context(spark, made)))
+    assert len(dealt) == 1 and dealt[0].startswith("race_no")
+
+
+def test_only_laps_in_and_out_of_the_pits_are_read_for_stops(spark, made):
+    c = Context(spark, made)
+    laps = c.laps.withColumn("expected", F.col("drv_med"))
+    got = measured_stops(c, laps)
+    assert "Or(EqualTo(pit_in,true),EqualTo(pit_out,true))" in got._jdf.queryExecution().executedPlan().toString()
+    at = {(r.race_no, r.drv, r.lap): r for r in laps.collect()}
+    want = {}
+    for (race, drv, lap), r in at.items():
+        n = at.get((race, drv, lap + 1))
+        if r.pit_in and n and n.pit_out and lap > 1 and r.dry_race and not r.red and not n.red:
+            want[race, drv, lap] = n.compound
+    assert want and {(r.race_no, r.drv, r.lap): r.next_compound for r in got.collect()} == want
+
+
+def test_forecast_pairs_are_shuffled_once(spark, made):
+    plan = forecast_rows(Context(spark, made))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
